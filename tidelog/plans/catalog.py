@@ -1,9 +1,818 @@
 """The catalog of queries over the driver's tables, with their SQL oracles."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import filterexpr, patterns, scalars
+from ..functions.filterexpr import PlainField, compile_filter
+from ..operators import analytics as A
+from ..operators import core as C
+from ..operators import folds
+from ..operators.folds import ordered_fold
+from ..sources.events import sequenced, to_events, with_payload
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+HOUR = 3_600_000
+#: events as the canonical relation.
+EV = """ev as (select 'events.' || event_type as topic, event_id as arrival, row_number() over (partition by event_type order by event_id) as seq,
+ epoch_us(ts) // 1000 as at_ms, cast(user_id as varchar) as key, value, props, json_extract_string(props, '$.k') as message_id from events)"""
+
+
+def query(sql: str | None = None, ev: bool = True):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = (f"with {EV}{',' if sql.lstrip().startswith('+') else ''} " + sql.lstrip().removeprefix("+")) if ev else sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return to_events(spark, sf)
+
+
+def log(spark: SparkSession, sf: str) -> DataFrame:
+    return sequenced(to_events(spark, sf))
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def now_of(df: DataFrame) -> int:
+    return df.agg(F.max("at_ms")).first()[0]
+
+
+def r2(c, name: str):
+    return F.round(c, 4).alias(name)
+
+
+@query("select topic, floor(at_ms / 3600000)::bigint * 3600000 as window_start, count(*) as count, round(sum(value), 4) as value from ev where value > 50 group by 1, 2")
+def flagship(spark, sf):
+    rows = events(spark, sf).where(patterns.topic_matches(F.col("topic"), "events.*")).where(compile_filter("value > 50", columns={"value": PlainField(F.col("value"), float)}))
+    return C.tumbling(rows, "sum", HOUR, ["topic"]).select("topic", "window_start", "count", r2("value", "value"))
+
+
+# ---- predicates and projections ----
+@query("select arrival, topic from ev where regexp_matches(topic, '^events\\.[^.]+$') and (topic like '%.click' or topic like '%.view')")
+def topic_match(spark, sf):
+    return events(spark, sf).where(patterns.topic_matches(F.col("topic"), "events.*") & patterns.any_matches(F.col("topic"), ["**.click", "events.view"])).select("arrival", "topic")
+
+
+@query("select arrival, topic from ev where topic <> 'events.error'")
+def composite_match(spark, sf):
+    return events(spark, sf).where(patterns.composite_matches(F.col("topic"), ["events.**"], ["*.error"])).select("arrival", "topic")
+
+
+@query("select arrival, value from ev where (value >= 100 and value < 200) or cast(json_extract(props, '$.k') as int) = 7")
+def filter_expr_range(spark, sf):
+    return with_payload(events(spark, sf)).where(compile_filter("(value >= 100 && value < 200) || props.k == 7")).select("arrival", "value")
+
+
+@query("select arrival from ev where not regexp_matches(topic, '^events\\.p') or value > 400.5")
+def filter_expr_regex(spark, sf):
+    cols = {"topic": PlainField(F.col("topic"), str)}
+    return with_payload(events(spark, sf)).where(compile_filter("!(topic =~ /^events\\.p/) || value > 400.5", columns=cols)).select("arrival")
+
+
+_MIXED = F.parse_json(F.when(F.col("arrival") % 7 == 0, "{}").when(F.col("arrival") % 7 == 1, '{"k":null}').when(F.col("arrival") % 7 == 2, '{"k":"5"}').otherwise(F.col("props")))
+
+
+def mixed(spark, sf):
+    return events(spark, sf).withColumn("payload", _MIXED)
+
+
+_MIXED_SQL = "+ m as (select *, case arrival % 7 when 0 then '{}' when 1 then '{\"k\":null}' when 2 then '{\"k\":\"5\"}' else props end as j from ev) "
+
+
+@query(_MIXED_SQL + "select arrival from m where not coalesce(json_type(j, '$.k') not in ('NULL','VARCHAR') and cast(json_extract_string(j, '$.k') as double) = 5, false)")
+def filter_expr_missing_ne(spark, sf):
+    return mixed(spark, sf).where(compile_filter("k != 5")).select("arrival")
+
+
+@query(_MIXED_SQL + "select arrival from m where json_type(j, '$.k') is not null and json_type(j, '$.k') <> 'NULL' or json_type(j, '$.k') = 'NULL'")
+def filter_expr_exists(spark, sf):
+    return mixed(spark, sf).where(compile_filter("exists(k)")).select("arrival")
+
+
+@query(_MIXED_SQL + "select arrival, case when at_ms >= 0 and arrival >= 5000 then 2 when arrival >= 1000 then 1 else 0 end as stamp from m where case when arrival >= 5000 then json_type(j, '$.k') = 'NULL' when arrival >= 1000 then coalesce(json_type(j, '$.k') = 'VARCHAR' and json_extract_string(j, '$.k') = '5', false) else true end")
+def filter_versions(spark, sf):
+    stamp, keep = filterexpr.filter_versions([(1000, 'k == "5"'), (5000, "k == null")], F.col("arrival"))
+    return mixed(spark, sf).withColumn("stamp", stamp).where(keep).select("arrival", "stamp")
+
+
+@query("select o_orderkey as id from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' and o_orderstatus <> 'F' and starts_with(o_orderpriority, '1')", ev=False)
+def header_eq(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.withColumn("headers", F.create_map(F.lit("tenant"), "c_mktsegment", F.lit("status"), "o_orderstatus", F.lit("p"), "o_orderpriority"))
+    return rows.where(filterexpr.header_filter([("tenant", "eq", "BUILDING"), ("status", "ne", "F"), ("p", "prefix", "1")])).select(F.col("o_orderkey").alias("id"))
+
+
+@query("select arrival, key from ev where key >= '11' and key < '14'")
+def key_range(spark, sf):
+    return events(spark, sf).where(filterexpr.key_range(F.col("key"), "11", "14")).select("arrival", "key")
+
+
+@query("select arrival, round(value * 2, 4) as doubled, cast(json_extract(props, '$.k') as int) as k from ev")
+def project_payload(spark, sf):
+    return events(spark, sf).select("arrival", r2(F.col("value") * 2, "doubled"), F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("select c_custkey as id, '***' as name, '***' as segment, c_acctbal as balance from customer", ev=False)
+def redact_fields(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", F.struct(F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_mktsegment").alias("segment")).alias("profile")).alias("user"), F.col("c_acctbal").alias("balance")).alias("p"))
+    return C.redact(rows, "p", ["user.name", "user.profile.segment", "user.none"]).select(F.col("c_custkey").alias("id"), "p.user.name", "p.user.profile.segment", "p.balance")
+
+
+@query("select arrival, topic, row_number() over (partition by topic order by arrival) as seq from ev where value > 20")
+def schema_gate_seq(spark, sf):
+    return sequenced(events(spark, sf).where("value > 20")).select("arrival", "topic", "seq")
+
+
+@query("select arrival, case when arrival % 4 = 3 then 'ok' when arrival % 4 = 2 then 'grace' when arrival % 4 = 1 then 'expired' else 'unknown' end as verdict from ev")
+def schema_version_gate(spark, sf):
+    gate = C.version_gate(F.col("arrival") % 4, 3, {2: 1000, 1: 100}, F.lit(1500), 500)
+    return events(spark, sf).select("arrival", gate.alias("verdict"))
+
+
+@query("select arrival, (value + 1) * 10 as migrated from ev where arrival % 3 = 0")
+def schema_migration(spark, sf):
+    steps = {(1, 2): lambda c: c + 1, (2, 4): lambda c: c * 10, (1, 3): lambda c: c, (3, 5): lambda c: c, (5, 4): lambda c: c}
+    return events(spark, sf).where("arrival % 3 = 0").select("arrival", C.migrate(F.col("value"), 1, 4, steps).alias("migrated"))
+
+
+@query("select arrival, length(props) as bytes from ev where length(props) <= 7")
+def size_gate(spark, sf):
+    return events(spark, sf).select("arrival", F.octet_length("props").cast("long").alias("bytes")).where("bytes <= 7")
+
+
+@query("+ n as (select max(at_ms) as now from ev) select arrival from ev, n where now < least(at_ms + case when topic = 'events.click' then 30 * 86400000::bigint when arrival % 10 = 0 then 90 * 86400000::bigint else 60 * 86400000::bigint end, at_ms + 80 * 86400000::bigint)")
+def ttl_filter(spark, sf):
+    day = 86_400_000
+    rows = C.resolve_rules(events(spark, sf), [("events.*", 60 * day), ("events.click", 30 * day)], "rule")
+    ttl = F.when((F.col("arrival") % 10 == 0) & (F.col("topic") != "events.click"), F.lit(90 * day)).otherwise(F.col("rule"))
+    return rows.where(C.alive(F.lit(now_of(rows)), F.col("at_ms"), ttl, F.col("at_ms") + 80 * day)).select("arrival")
+
+
+@query("select topic, case topic when 'events.view' then 3 when 'events.click' then 1 else 2 end as rule, count(*) as n from ev group by all")
+def rule_resolution(spark, sf):
+    rows = C.resolve_rules(events(spark, sf), [("events.click", 1), ("events.*", 2), ("**", 9), ("events.view", 3)], "rule")
+    return rows.groupBy("topic", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select arrival from ev where topic in ('events.click', 'events.view') and key <> '5' or key = '7'")
+def acl_allow(spark, sf):
+    rows = events(spark, sf).withColumn("principal", F.col("key"))
+    return rows.where(C.acl(rows, [("7", "**", "allow"), ("5", "**", "deny"), ("*", "events.click", "allow"), ("*", "events.view", "allow")])).select("arrival")
+
+
+@query("select arrival, 'acme/' || replace(topic, 'events.', 'e.') as topic from ev where topic = 'events.error'")
+def namespace_alias(spark, sf):
+    rows = events(spark, sf).where("topic = 'events.error'")
+    return rows.select("arrival", F.concat(F.lit("acme/"), patterns.rename_template(F.col("topic"), "events.*", "e.$1")).alias("topic"))
+
+
+@query("select arrival, case when topic = 'events.error' then 'acl' when value < 20 then 'schema' when length(props) > 7 then 'size' when arrival % 11 = 0 then 'pressure' end as gate from ev")
+def admission_first_gate(spark, sf):
+    gates = [("acl", F.col("topic") == "events.error"), ("schema", F.col("value") < 20), ("size", F.octet_length("props") > 7), ("pressure", F.col("arrival") % 11 == 0)]
+    return events(spark, sf).select("arrival", C.first_gate(gates).alias("gate"))
+
+
+@query("select arrival, arrival // 8 as batch, bool_and(value >= 20) over (partition by arrival // 8) as admitted, min(case when value < 20 then arrival % 8 end) over (partition by arrival // 8) as first_refused from ev")
+def atomic_batches(spark, sf):
+    rows = events(spark, sf).withColumn("batch", F.floor(F.col("arrival") / 8)).withColumn("i", F.col("arrival") % 8).withColumn("refused", F.col("value") < 20)
+    return C.atomic(rows, "batch", "i", "refused").select("arrival", "batch", "admitted", "first_refused")
+
+
+@query()
+def sampling(spark, sf):
+    return events(spark, sf).where(C.sampled(F.col("arrival"), 0.2, F.col("topic") == "events.error")).select("arrival", "topic")
+
+
+# ---- scans ----
+@query("select arrival, seq from ev where topic = 'events.click' and seq > 100")
+def scan_since_seq(spark, sf):
+    return C.since_seq(log(spark, sf), "events.click", 100).select("arrival", "seq")
+
+
+@query("select arrival, at_ms from ev where topic = 'events.view' and at_ms > (select min(at_ms) + 864000000 from ev)")
+def scan_since_time(spark, sf):
+    rows = events(spark, sf)
+    return C.since_time(rows, "events.view", rows.agg(F.min("at_ms")).first()[0] + 864_000_000).select("arrival", "at_ms")
+
+
+@query("select arrival, seq from ev where topic = 'events.view' and seq > 50 order by seq limit 25")
+def poll_page(spark, sf):
+    return C.poll(log(spark, sf), "events.view", 50, 25).select("arrival", "seq")
+
+
+@query("+ r as (select *, coalesce(at_ms - lag(at_ms) over (order by seq), 0) / 2.0 as wait_ms from ev where topic = 'events.click' and key in ('3', '12', '40') and key = '12' and seq between 20 and 1500) select arrival, seq, wait_ms from r")
+def replay_range_key(spark, sf):
+    return C.replay_range(log(spark, sf), "events.click", 20, 1500, "12", 2.0).select("arrival", "seq", "wait_ms")
+
+
+@query("select arrival, topic from ev qualify row_number() over (partition by topic order by seq desc) <= 7")
+def lookback_n(spark, sf):
+    return C.lookback(log(spark, sf), 7).select("arrival", "topic")
+
+
+@query("select topic, max(seq) as seq, max(at_ms) as at_ms, arg_max(value, seq) as value from ev where topic <> 'events.error' group by 1")
+def retained_snapshot(spark, sf):
+    rows = log(spark, sf).withColumn("value", F.when(F.col("topic") != "events.error", F.col("value")))
+    return C.retained(rows).select("topic", "seq", "at_ms", "value")
+
+
+@query("select topic, seq, arrival from ev where arrival % 13 = 0")
+def gap_repair(spark, sf):
+    rows = log(spark, sf)
+    return C.gap_repair(rows, rows.where("arrival % 13 <> 0")).select("topic", "seq", "arrival")
+
+
+@query("+ d as (select topic, seq, seq - lag(seq) over (partition by topic order by seq) - 1 as missing from ev where arrival % 13 <> 0) select topic, seq, missing from d where missing > 0")
+def seq_gaps(spark, sf):
+    return C.sequence_gaps(log(spark, sf).where("arrival % 13 <> 0"), ["topic"]).select("topic", "seq", "missing")
+
+
+@query("select count(*) as pending, (select max(at_ms) from ev) - min(at_ms) as oldest_ms from ev where topic = 'events.purchase' and seq > 300")
+def outbox_lag(spark, sf):
+    rows = log(spark, sf)
+    return C.outbox_lag(rows.where("topic = 'events.purchase'"), 300, now_of(rows))
+
+
+@query("select arrival, at_ms + (arrival % 5) * 3600000 as deliver_at from ev where at_ms + (arrival % 5) * 3600000 <= (select min(at_ms) + 1000000000 from ev)")
+def delayed_due(spark, sf):
+    rows = events(spark, sf).withColumn("deliver_at", F.col("at_ms") + (F.col("arrival") % 5) * HOUR)
+    return C.due(rows, rows.agg(F.min("at_ms")).first()[0] + 1_000_000_000).select("arrival", "deliver_at")
+
+
+@query("select topic, count(*) as pending, min(at_ms + (arrival % 5) * 3600000) as next_due from ev group by 1")
+def delayed_stats(spark, sf):
+    return events(spark, sf).groupBy("topic").agg(F.count(F.lit(1)).alias("pending"), F.min(F.col("at_ms") + (F.col("arrival") % 5) * HOUR).alias("next_due"))
+
+
+# ---- state ----
+_LATEST = "select topic, key, arg_max(value, seq) as value, max(seq) as seq, count(*) as version from ev where key is not null {} group by 1, 2"
+
+
+@query(_LATEST.format(""))
+def ktable_latest(spark, sf):
+    return C.ktable(log(spark, sf))
+
+
+@query(_LATEST.format("and starts_with(key, '1')"))
+def ktable_scan_prefix(spark, sf):
+    return C.ktable(log(spark, sf), prefix="1")
+
+
+@query("select arrival, lag(value) over w as old_value, value as new_value, row_number() over w as version from ev window w as (partition by topic, key order by seq)")
+def changelog(spark, sf):
+    return C.changelog(log(spark, sf)).select("arrival", "old_value", F.col("value").alias("new_value"), "version")
+
+
+@query("+ k as (select *, case when arrival % 9 <> 0 then key end as k2 from ev), r as (select *, row_number() over (partition by topic, k2 order by seq desc) as n from k) select arrival, topic, k2 as key from r where k2 is not null and n = 1 or k2 is null and n <= 20")
+def keyed_compaction(spark, sf):
+    rows = log(spark, sf).withColumn("key", F.when(F.col("arrival") % 9 != 0, F.col("key")))
+    return C.compact(rows, 20).select("arrival", "topic", "key")
+
+
+@query("+ l as (select * from ev qualify row_number() over (partition by topic, key order by seq desc) = 1) select topic, key, at_ms < (select max(at_ms) from ev) - 604800000 as tombstone, case when at_ms < (select max(at_ms) from ev) - 604800000 then 0 else seq end as seq from l")
+def key_ttl(spark, sf):
+    rows = log(spark, sf)
+    return C.key_ttl(C.compact(rows), now_of(rows), 604_800_000).select("topic", "key", "tombstone", "seq")
+
+
+@query("select arrival from ev where at_ms >= (select max(at_ms) from ev) - 864000000 qualify row_number() over (partition by topic order by seq desc) <= 100")
+def retention_age(spark, sf):
+    rows = log(spark, sf)
+    return C.retain(rows, now_of(rows) - 864_000_000, 100).select("arrival")
+
+
+@query()
+def retention_bytes(spark, sf):
+    rows = log(spark, sf).select("topic", "arrival", F.expr("1 + pmod(arrival * 37, 101)").alias("bytes"), (-F.col("seq")).alias("newest"))
+    return ordered_fold(rows, ["topic"], ["newest"], lambda: folds.GreedyBytes(5000), "topic string, arrival long, bytes long, kept boolean").where("kept").select("arrival", "bytes")
+
+
+@query()
+def store_bounded(spark, sf):
+    return ordered_fold(log(spark, sf).select("topic", "key", "value", "seq"), ["topic"], ["seq"], lambda: folds.BoundedStore(40), "topic string, key string, value double, seq long, version long")
+
+
+@query()
+def compare_and_set(spark, sf):
+    rows = log(spark, sf).select("topic", "key", "arrival", F.col("value").cast("string").alias("value"), F.when(F.col("arrival") % 3 != 0, F.floor(F.col("arrival") / 2500)).cast("long").alias("expected_version"), F.lit(None).cast("string").alias("expected_value"))
+    return ordered_fold(rows, ["topic", "key"], ["arrival"], folds.CompareAndSet, "topic string, key string, arrival long, applied boolean, version long")
+
+
+# ---- windows ----
+def _tumble(kind: str, sql: str):
+    def f(spark, sf):
+        return C.tumbling(log(spark, sf), kind, 6 * HOUR, ["topic"]).select("topic", "window_start", "window_end", "count", "value" if kind == "concat" else F.round("value", 9).alias("value"))
+
+    f.__name__ = f"tumbling_{kind}"
+    query(f"select topic, at_ms // 21600000 * 21600000 as window_start, at_ms // 21600000 * 21600000 + 21600000 as window_end, count(*) as count, {sql} as value from ev group by 1, 2, 3")(f)
+
+
+for _kind, _sql in {
+    "count": "count(*)::double", "sum": "round(sum(value), 9)", "avg": "round(avg(value), 9)", "min": "min(value)", "max": "max(value)", "last": "arg_max(value, arrival)",
+    "concat": "string_agg(case when value = floor(value) then cast(value::bigint as varchar) else cast(value as varchar) end, '' order by arrival)",
+}.items():
+    _tumble(_kind, _sql)
+
+_SESS = "+ s as (select *, case when at_ms - lag(at_ms) over (partition by key order by at_ms, arrival) >= 28800000 then 1 else 0 end as n from ev), t as (select *, sum(n) over (partition by key order by at_ms, arrival) as session from s) select key, min(at_ms) as session_start, max(at_ms) as session_end, count(*) as count, {} as value from t group by key, session"
+
+
+@query(_SESS.format("count(*)::double"))
+def session_count(spark, sf):
+    return C.sessions(events(spark, sf), 8 * HOUR)
+
+
+@query(_SESS.format("round(sum(value), 4)"))
+def session_sum(spark, sf):
+    return C.sessions(events(spark, sf), 8 * HOUR, "sum").select("key", "session_start", "session_end", "count", r2("value", "value"))
+
+
+@query("select topic, at_ms // 3600000 * 3600000 - k * 3600000 as window_start, count(*) as count from ev, range(4) r(k) group by 1, 2")
+def hopping_count(spark, sf):
+    return C.hopping(events(spark, sf), 4 * HOUR, HOUR, ["topic"])
+
+
+def disordered(spark, sf):
+    """Arrivals out of event-time order."""
+    order = F.col("arrival") + F.pmod(F.col("arrival") * 37, F.lit(31))
+    return events(spark, sf).withColumn("order", order * 100_000_000 + F.col("arrival"))
+
+
+_DIS = "+ d as (select *, (arrival + (arrival * 37) % 31) * 100000000 + arrival as o from ev), w as (select *, max(at_ms) over (partition by topic order by o rows between unbounded preceding and 1 preceding) - 3600000 as wm from d) "
+
+
+@query(_DIS + "select arrival, topic, wm as watermark, coalesce(at_ms < wm, false) as late from w")
+def watermark_late(spark, sf):
+    return C.watermarked(disordered(spark, sf), HOUR, "order").select("arrival", "topic", "watermark", "late")
+
+
+@query("+ i as (select *, lead(at_ms) over (partition by topic order by arrival) as next_at_ms from ev) select arrival, topic, next_at_ms from i where next_at_ms - at_ms >= 3600000")
+def watermark_idle(spark, sf):
+    return C.idle_advances(events(spark, sf), HOUR).select("arrival", "topic", "next_at_ms")
+
+
+@query()
+def event_time_release(spark, sf):
+    rows = disordered(spark, sf).select("topic", "order", "arrival", "event_time_ms", "at_ms")
+    return ordered_fold(rows, ["topic"], ["order"], lambda: folds.EventTimeBuffer(HOUR, 10**15), "topic string, arrival long, event_time_ms long, released long")
+
+
+# ---- joins ----
+def _sides(spark, sf):
+    rows = events(spark, sf).select("topic", "arrival", "key", F.col("at_ms").alias("ts"), F.col("at_ms").alias("now"))
+    return rows.where("topic = 'events.view'"), rows.where("topic = 'events.purchase'")
+
+
+_PAIRS = "l as (select * from ev where topic = 'events.view'), r as (select * from ev where topic = 'events.purchase'), p as (select l.key, l.arrival as l_arrival, r.arrival as r_arrival, l.at_ms as l_ts, r.at_ms as r_ts, greatest(l.at_ms, r.at_ms) - 86400000 as window_start from l join r on l.key = r.key and (r.arrival < l.arrival and r.at_ms between l.at_ms - 86400000 and l.at_ms or l.arrival < r.arrival and l.at_ms between r.at_ms - 86400000 and r.at_ms))"
+
+
+@query(f"+ {_PAIRS} select * from p")
+def stream_join_inner(spark, sf):
+    return C.stream_join(*_sides(spark, sf), 24 * HOUR)
+
+
+@query(f"+ {_PAIRS} select * from p union all select key, arrival, null, at_ms, null, at_ms - 86400000 from l where not exists (select 1 from p where p.l_arrival = l.arrival and p.r_arrival < l.arrival)")
+def stream_join_left(spark, sf):
+    return C.stream_join(*_sides(spark, sf), 24 * HOUR, "left")
+
+
+@query(f"+ {_PAIRS} select p.* from p where case when r_arrival < l_arrival then (select count(*) from r where r.key = p.key and r.arrival > p.r_arrival and r.arrival < p.l_arrival) else (select count(*) from l where l.key = p.key and l.arrival > p.l_arrival and l.arrival < p.r_arrival) end < 1")
+def stream_join_bounded(spark, sf):
+    return C.stream_join(*_sides(spark, sf), 24 * HOUR, max_buffered=1)
+
+
+@query(_DIS + "select topic, count(*) as late from w where at_ms < wm group by 1")
+def join_late_counts(spark, sf):
+    return C.watermarked(disordered(spark, sf), HOUR, "order").where("late").groupBy("topic").agg(F.count(F.lit(1)).alias("late"))
+
+
+@query("select arrival, topic, null::varchar as routed_from from ev union all select arrival, 'alerts', topic from ev where topic = 'events.error' and value > 100 union all select arrival, 'money', topic from ev where topic = 'events.purchase'")
+def route_forward(spark, sf):
+    return C.route(events(spark, sf), [("events.error", "alerts", F.col("value") > 100), ("*.purchase", "money", None), ("events.view", "events.view", None)]).select("arrival", "topic", "routed_from")
+
+
+@query("+ h as (select *, row(at_ms - (arrival * 37) % 20000000, arrival % 3, 'n' || (arrival % 2)) as c from ev), m as (select *, max(c) over (partition by topic, key order by arrival rows between unbounded preceding and 1 preceding) as b from h) select arrival from m where b is null or c > b")
+def hlc_lww(spark, sf):
+    clock = scalars.hlc(F.col("at_ms") - F.pmod(F.col("arrival") * 37, F.lit(20_000_000)), F.col("arrival") % 3, F.concat(F.lit("n"), (F.col("arrival") % 2).cast("string")))
+    return C.last_writer_wins(events(spark, sf).withColumn("hlc", clock)).select("arrival")
+
+
+_RPC = "+ q as (select arrival as correlation_id, at_ms from ev where topic = 'events.click'), a as (select arrival - 1 - arrival % 3 as correlation_id, at_ms from ev where topic = 'events.view') , j as (select q.correlation_id, q.at_ms, min(case when a.at_ms between q.at_ms and q.at_ms + 1200000 then a.at_ms end) as reply_ms from q left join a using (correlation_id) group by 1, 2) "
+
+
+def _rpc(spark, sf):
+    rows = events(spark, sf)
+    asked = rows.where("topic = 'events.click'").select(F.col("arrival").alias("correlation_id"), "at_ms")
+    return C.correlate(asked, rows.where("topic = 'events.view'").select((F.col("arrival") - 1 - F.col("arrival") % 3).alias("correlation_id"), "at_ms"), 1_200_000)
+
+
+@query(_RPC + "select correlation_id, at_ms, reply_ms from j where reply_ms is not null")
+def rpc_match(spark, sf):
+    return _rpc(spark, sf).where("not timed_out").drop("timed_out")
+
+
+@query(_RPC + "select correlation_id from j where reply_ms is null")
+def rpc_timeout(spark, sf):
+    return _rpc(spark, sf).where("timed_out").select("correlation_id")
+
+
+# ---- topic algebra ----
+@query("select arrival, row_number() over (order by seq) as seq, seq as old_seq from ev where topic = 'events.click' and seq > 40")
+def topic_fork(spark, sf):
+    return C.fork(log(spark, sf), "events.click", "copy", from_seq=40).select("arrival", "seq", "old_seq")
+
+
+@query("+ l as (select * from ev where topic = 'events.click' qualify row_number() over (partition by key order by seq desc) = 1) select arrival, key, row_number() over (order by seq) as seq from l")
+def topic_fork_keyed_latest(spark, sf):
+    return C.fork(log(spark, sf), "events.click", "copy", keyed_latest=True).select("arrival", "key", "seq")
+
+
+@query("select arrival, topic as source, row_number() over (order by at_ms, case topic when 'events.view' then 0 else 1 end, seq) as seq from ev where topic in ('events.view', 'events.error')")
+def topic_merge(spark, sf):
+    return C.merge(log(spark, sf), "events.view", "events.error", "both").select("arrival", "source", "seq")
+
+
+@query("select arrival, case when value > 250 then 'dear' else 'cheap' end as topic, row_number() over (partition by value > 250 order by seq) as seq from ev where topic = 'events.purchase'")
+def topic_split(spark, sf):
+    return C.split(log(spark, sf), "events.purchase", F.col("value") > 250, "dear", "cheap").select("arrival", "topic", "seq")
+
+
+# ---- folds ----
+_ROW = "topic string, message_id string, arrival long, at_ms long, admitted boolean"
+_DEDUP = """+ o as (select *, row_number() over (partition by {0} order by arrival) as n from ev), d(ident, n, kept, admitted, arrival) as (
+ select {1}, n, at_ms, true, arrival from o where n = 1 union all
+ select d.ident, o.n, case when o.at_ms - d.kept >= 259200000 then o.at_ms else d.kept end, o.at_ms - d.kept >= 259200000, o.arrival from d join o on {1} = d.ident and o.n = d.n + 1) select arrival from d where admitted"""
+
+
+@query(_DEDUP.format("topic, message_id", "topic || '/' || message_id"))
+def dedup_idempotent(spark, sf):
+    rows = events(spark, sf).select("topic", "message_id", "arrival", "at_ms")
+    return ordered_fold(rows, ["topic", "message_id"], ["arrival"], lambda: folds.Dedup(72 * HOUR), _ROW).where("admitted").select("arrival")
+
+
+@query(_DEDUP.format("topic, props", "topic || '/' || props"))
+def dedup_content(spark, sf):
+    rows = events(spark, sf).select("topic", F.sha2("props", 256).alias("message_id"), "arrival", "at_ms")
+    return ordered_fold(rows, ["topic", "message_id"], ["arrival"], lambda: folds.Dedup(72 * HOUR), _ROW).where("admitted").select("arrival")
+
+
+for _name in ("dedup_idempotent", "dedup_content"):
+    _SQL[_name] = _SQL[_name].replace("with ev", "with recursive ev", 1)
+
+
+def _limited(by: str, rate: float, burst: float):
+    def f(spark, sf):
+        rows = events(spark, sf).select("topic", "key", "arrival", "at_ms")
+        return ordered_fold(rows, [by], ["arrival"], lambda: folds.TokenBucket(rate, burst), "topic string, key string, arrival long, at_ms long, admitted boolean").select("arrival", "admitted")
+
+    return f
+
+
+for _by, _rate, _burst in (("topic", 1 / 3600, 5.0), ("key", 1 / 43200, 2.0)):
+    _f = _limited(_by, _rate, _burst)
+    _f.__name__ = f"rate_limit_{_by}"
+    query()(_f)
+
+
+@query()
+def sliding_limit(spark, sf):
+    rows = events(spark, sf).select("topic", "arrival", "at_ms")
+    return ordered_fold(rows, ["topic"], ["arrival"], lambda: folds.SlidingLimit(10, 12 * HOUR), "topic string, arrival long, at_ms long, admitted boolean").where("admitted").select("arrival")
+
+
+def _sequences(spark, sf, names: dict[str, str], steps, within: int):
+    met = F.array_compact(F.array(*[F.when(F.col("topic") == t, n) for n, t in names.items()]))
+    rows = events(spark, sf).select("key", "arrival", "at_ms", met.alias("steps")).where("size(steps) > 0")
+    out = ordered_fold(rows, ["key"], ["arrival"], lambda: folds.Sequence(steps, within), "key string, start_ms long, at_ms long, duration_ms long, events array<long>")
+    return out.select("key", "start_ms", "at_ms", "duration_ms", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
+
+
+@query("+ m as (select a.key, a.at_ms as start_ms, a.arrival as x, min(b.arrival) as y from ev a join ev b on a.key = b.key and b.arrival > a.arrival and b.topic = 'events.purchase' and b.at_ms <= a.at_ms + 86400000 where a.topic = 'events.view' group by 1, 2, 3) select m.key, start_ms, ev.at_ms, ev.at_ms - start_ms as duration_ms, x || ',' || y as events from m join ev on arrival = y")
+def cep_two_step(spark, sf):
+    return _sequences(spark, sf, {"a": "events.view", "b": "events.purchase"}, [("a", None), ("b", None)], 24 * HOUR)
+
+
+@query("""+ m as (select a.key, a.at_ms as start_ms, a.arrival as x, min(b.arrival) as y from ev a join ev b on a.key = b.key and b.arrival > a.arrival and b.topic = 'events.click' and b.at_ms <= a.at_ms + 172800000 where a.topic = 'events.view' group by 1, 2, 3),
+ n as (select m.key, start_ms, x, y, min(c.arrival) as z from m join ev c on m.key = c.key and c.arrival > y and c.topic = 'events.purchase' and c.at_ms <= start_ms + 172800000 group by 1, 2, 3, 4) select n.key, start_ms, ev.at_ms, ev.at_ms - start_ms as duration_ms, x || ',' || y || ',' || z as events from n join ev on arrival = z""")
+def cep_three_step(spark, sf):
+    return _sequences(spark, sf, {"a": "events.view", "b": "events.click", "c": "events.purchase"}, [("a", None), ("b", None), ("c", None)], 48 * HOUR)
+
+
+@query("select key, at_ms as start_ms, at_ms + 43200000 as at_ms, 43200000::bigint as duration_ms, cast(arrival as varchar) as events from ev a where topic = 'events.signup' and not exists (select 1 from ev b where b.key = a.key and b.topic = 'events.purchase' and b.arrival > a.arrival and b.at_ms < a.at_ms + 43200000)")
+def cep_absence(spark, sf):
+    return _sequences(spark, sf, {"a": "events.signup", "b": "events.purchase"}, [("a", None), ("b", 12 * HOUR)], 24 * HOUR)
+
+
+@query()
+def failure_regime(spark, sf):
+    rows = events(spark, sf).select("key", "topic", "arrival", (F.pmod(F.floor(F.col("arrival") / 1000), F.lit(3)) * 3 > F.pmod(F.col("arrival") * 7919, F.lit(10))).cast("int").alias("failed"))
+    return ordered_fold(rows, ["topic"], ["arrival"], folds.Regime, "topic string, arrival long, direction string, mean_before double, score double")
+
+
+@query()
+def partition_health(spark, sf):
+    rows = events(spark, sf).select((F.col("arrival") % 4).alias("p"), "arrival", "at_ms", (F.pmod(F.floor(F.col("arrival") / 300), F.lit(3)) == 0).alias("failed"))
+    return ordered_fold(rows, ["p"], ["arrival"], lambda: folds.PartitionHealth(cooldown_ms=HOUR), "p long, arrival long, at_ms long, failed boolean, healthy boolean").select("p", "arrival", "healthy")
+
+
+@query("select key as source, rn - 1 as clock, arrival from (select *, row_number() over (partition by key order by arrival) as rn from ev)")
+def causal_order(spark, sf):
+    w = Window.partitionBy("key").orderBy("arrival")
+    rows = events(spark, sf).select(F.col("key").alias("source"), (F.row_number().over(w) - 1).cast("long").alias("clock"), "arrival")
+    shuffled = rows.withColumn("o", F.col("arrival") - 200 * (F.col("arrival") % 3))
+    return ordered_fold(shuffled, ["source"], ["o"], folds.Causal, "source string, clock long, arrival long")
+
+
+@query()
+def json_patches(spark, sf):
+    w = Window.partitionBy("key").orderBy("arrival")
+    rows = events(spark, sf).select("key", "arrival", F.row_number().over(w).cast("long").alias("n"), F.col("value").cast("string").alias("v"))
+    rows = rows.withColumn("version", F.when(F.col("n") % 17 == 5, F.col("n") + 1).otherwise(F.col("n")))
+    full = F.col("n") % 10 == 1
+    rows = rows.withColumn("value", F.when(full, F.concat(F.lit('{"v":'), "v", F.lit("}")))).withColumn("ops", F.when(~full, F.concat(F.lit('[{"op":"replace","path":"/v","value":'), "v", F.lit("}]"))))
+    return ordered_fold(rows, ["key"], ["arrival"], folds.Patches, "key string, arrival long, verdict string, version long, doc string")
+
+
+# ---- order ----
+_LANE = F.when(F.col("o_orderpriority").substr(1, 1).isin("1", "2"), "urgent").when(F.col("o_orderpriority").startswith("3"), "normal").otherwise("bulk")
+_LANE_SQL = "case when o_orderpriority[1] in ('1', '2') then 'urgent' when o_orderpriority[1] = '3' then 'normal' else 'bulk' end"
+
+
+def _orders(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("arrival"), F.col("o_custkey").alias("customer"), _LANE.alias("lane"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") * 7919 % 100_003).alias("deadline_ms"))
+
+
+@query(f"select o_orderkey as arrival, row_number() over (partition by o_custkey order by case {_LANE_SQL} when 'urgent' then 0 when 'normal' then 1 else 2 end, case when o_orderkey % 3 = 0 then o_orderkey * 7919 % 100003 end nulls last, o_orderkey) as place from orders", ev=False)
+def edf_order(spark, sf):
+    rows = _orders(spark, sf)
+    return rows.select("arrival", F.row_number().over(Window.partitionBy("customer").orderBy(*A.edf_order(rows))).cast("long").alias("place"))
+
+
+@query(f"with l as (select o_orderkey as arrival, o_custkey, {_LANE_SQL} as lane from orders), r as (select *, row_number() over (partition by o_custkey, lane order by arrival) as rn from l) select arrival, lane, ceil(rn / case lane when 'urgent' then 8 when 'normal' then 2 else 1 end)::bigint as round from r", ev=False)
+def lane_order(spark, sf):
+    return A.lane_order(_orders(spark, sf), ["customer"]).select("arrival", "lane", F.col("round").cast("long").alias("round"))
+
+
+@query("+ f as (select *, min(arrival) over (partition by topic) as first from ev) select arrival, ceil(seq / 2.0)::bigint as round from f order by round, first, seq limit 500")
+def drr_order(spark, sf):
+    return A.fair_order(events(spark, sf), 2).orderBy("round", "first", "rn").limit(500).select("arrival", F.col("round").cast("long").alias("round"))
+
+
+@query("+ b as (select *, topic = 'events.signup' as bar from ev), e as (select *, coalesce(sum(bar::int) over (partition by key order by arrival rows between unbounded preceding and 1 preceding), 0)::bigint as epoch from b) select arrival, epoch from e where not bar")
+def barrier_epochs(spark, sf):
+    return A.barrier_epochs(events(spark, sf), F.col("topic") == "events.signup", ["key"]).select("arrival", "epoch")
+
+
+@query("select topic, ceil(seq / 50.0)::bigint as batch, count(*) as n, min(arrival) as first from ev group by 1, 2")
+def micro_batches(spark, sf):
+    return A.micro_batches(events(spark, sf), 50, ["topic"]).groupBy("topic", F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("arrival").alias("first"))
+
+
+@query("select arrival, 'oldest' as policy from ev qualify row_number() over (partition by key order by arrival desc) <= 5 union all (select arrival, 'newest' from ev qualify row_number() over (partition by key order by arrival) <= 5)")
+def queue_policies(spark, sf):
+    rows = events(spark, sf)
+    keep = lambda p: A.bounded_queue(rows, 5, f"drop-{p}", ["key"]).select("arrival", F.lit(p).alias("policy"))
+    return keep("oldest").unionByName(keep("newest"))
+
+
+# ---- metrics ----
+@query("+ n as (select max(at_ms) as now from ev) select topic, count(*) filter (at_ms >= now - 86400000) / 86400.0 as r1d, count(*) filter (at_ms >= now - 604800000) / 604800.0 as r7d from ev, n group by 1")
+def publish_rates(spark, sf):
+    rows = events(spark, sf)
+    return A.rates(rows, now_of(rows), {"r1d": 86_400_000, "r7d": 604_800_000})
+
+
+@query("+ n as (select max(at_ms) as now from ev) select topic, round(count(*) filter (at_ms >= now - 604800000) / 604800.0, 9) as rate from ev, n group by 1 having count(*) filter (at_ms >= now - 604800000) > 0 order by rate desc, topic limit 3")
+def hot_topics(spark, sf):
+    rows = events(spark, sf)
+    return A.top(A.rates(rows, now_of(rows), {"rate": 604_800_000}), "rate", "topic", 3).select("topic", F.round("rate", 9).alias("rate"))
+
+
+@query("+ l as (select topic, greatest(value - 20, 0) as v from ev qualify row_number() over (partition by topic order by arrival desc) <= 1024) select topic, count(*) as n, round(min(v), 4) as min, round(max(v), 4) as max, round(avg(v), 6) as mean, round(quantile_disc(v, 0.5), 4) as p50, round(quantile_disc(v, 0.95), 4) as p95, round(quantile_disc(v, 0.99), 4) as p99 from l group by 1")
+def latency_summary(spark, sf):
+    got = A.summary(events(spark, sf).withColumn("ms", F.col("value") - 20), ["topic"], "ms", "arrival")
+    return got.select("topic", "n", r2("min", "min"), r2("max", "max"), F.round("mean", 6).alias("mean"), *[r2(c, c) for c in ("p50", "p95", "p99")])
+
+
+@query("+ b as (select topic, count(*) as count, round(sum(value), 2) as sum, count(*) filter (value <= 100) as le_100, count(*) filter (value <= 250) as le_250, count(*) filter (value <= 500) as le_500 from ev group by 1) select *, case when le_100 >= ceil(.5 * count) then 100 when le_250 >= ceil(.5 * count) then 250 when le_500 >= ceil(.5 * count) then 500 end::bigint as p50, case when le_100 >= ceil(.99 * count) then 100 when le_250 >= ceil(.99 * count) then 250 when le_500 >= ceil(.99 * count) then 500 end::bigint as p99 from b")
+def payload_histogram(spark, sf):
+    return A.histogram(events(spark, sf), F.col("value"), [100, 250, 500], ["topic"]).withColumn("sum", F.round("sum", 2))
+
+
+@query()
+def quantiles_tdigest(spark, sf):
+    return events(spark, sf).groupBy("topic").agg(F.percentile_approx("value", [0.5, 0.95, 0.99], 1000).alias("q")).select("topic", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
+
+
+@query("+ c as (select topic, max(seq) as committed from ev where arrival <= 800 group by 1) select topic, max(seq) as assigned, coalesce(any_value(committed), 0) as committed, max(seq) - coalesce(any_value(committed), 0) as lag, max(seq) - coalesce(any_value(committed), 0) > 30 as over from ev left join c using (topic) group by 1")
+def group_lag(spark, sf):
+    rows = log(spark, sf)
+    return A.group_lag(rows, rows.where("arrival <= 800"), ["topic"], 30)
+
+
+@query("+ c as (select topic, arrival, value > 100 as ok, sum(case when value > 100 then 0 else 1 end) over (partition by topic order by arrival) as g from ev) select arrival from c qualify ok and sum(ok::int) over (partition by topic, g order by arrival) = 3")
+def lag_slo_runs(spark, sf):
+    return A.runs(events(spark, sf), ["topic"], "arrival", F.col("value") > 100).where("run = 3").select("arrival")
+
+
+@query("select arrival from (select arrival, value > 300 as c, lag(value > 300) over (partition by topic order by arrival) as p from ev) where c and not coalesce(p, false)")
+def lag_threshold_edges(spark, sf):
+    return A.edges(events(spark, sf), ["topic"], "arrival", F.col("value") > 300).select("arrival")
+
+
+@query("+ s as (select topic, seq::double as t, seq * 2 + (arrival * 37) % 5 as lag from ev qualify row_number() over (partition by topic order by seq desc) <= 64) select topic, count(*) as n, round(regr_slope(lag, t), 4) as slope, round(regr_r2(lag, t), 4) as r2, round(greatest((1e7 - regr_intercept(lag, t)) / regr_slope(lag, t) - max(t), 0), 0) as eta from s group by 1")
+def lag_forecast(spark, sf):
+    rows = log(spark, sf).select("topic", F.col("seq").cast("double").alias("t"), (F.col("seq") * 2 + (F.col("arrival") * 37) % 5).cast("double").alias("lag"))
+    return A.forecast(rows, ["topic"], "t", "lag", 1e7).select("topic", "n", r2("slope", "slope"), r2("r2", "r2"), F.round("eta", 0).alias("eta"))
+
+
+@query("select key, case when max(value) >= 480 and count(*) >= 60 then 'scale_up' when max(value) <= 470 and count(*) <= 65 then 'scale_down' else 'hold' end as signal from ev group by 1")
+def autoscale_signal(spark, sf):
+    per = events(spark, sf).groupBy("key").agg(F.max("value").alias("lag"), F.count(F.lit(1)).alias("rate"))
+    return per.select("key", A.scaling_signal(F.col("lag"), F.col("rate"), 480, 60, 470, 65).alias("signal"))
+
+
+_CHECKS = "c as (select substr(topic, 8) as name, case when max(value) > 490 and substr(topic, 8) = 'click' then 'fail' when avg(value) > 0 and topic < 'events.p' then 'warn' else 'ok' end as verdict from ev group by topic)"
+
+
+def _checks(spark, sf):
+    per = events(spark, sf).groupBy("topic").agg(F.max("value").alias("m"), F.avg("value").alias("a"))
+    verdict = F.when((F.col("m") > 490) & (F.col("topic") == "events.click"), "fail").when((F.col("a") > 0) & (F.col("topic") < "events.p"), "warn").otherwise("ok")
+    return per.select(F.substring("topic", 8, 99).alias("check"), verdict.alias("verdict"))
+
+
+@query(f"+ {_CHECKS} select case when bool_or(verdict = 'fail') then 'critical' when bool_or(verdict = 'warn') then 'degraded' else 'healthy' end as health from c")
+def doctor(spark, sf):
+    return A.diagnose(_checks(spark, sf))
+
+
+@query(f"+ {_CHECKS} select name, 'investigate' as action, case verdict when 'fail' then 0 else 1 end as severity from c where verdict <> 'ok'")
+def remediation_plan(spark, sf):
+    return A.remediation(_checks(spark, sf)).select(F.col("check").alias("name"), "action", "severity")
+
+
+@query("select 'events_total{topic=\"' || topic || '\"} ' || count(*) as line from ev group by topic")
+def prometheus_lines(spark, sf):
+    per = events(spark, sf).groupBy("topic").agg(F.count(F.lit(1)).alias("value"))
+    return A.exposition(per.select(F.lit("events_total").alias("name"), F.create_map(F.lit("topic"), "topic").alias("labels"), "value"))
+
+
+@query("select key, count(*) as depth from ev group by 1 having count(*) >= 10 order by depth desc, key limit 10")
+def key_hotspots(spark, sf):
+    return A.hotspots(events(spark, sf), 10)
+
+
+@query("select topic, key, count(*) as published, round(sum(length(props))::double, 0) as bytes from ev group by 1, 2")
+def counters(spark, sf):
+    return events(spark, sf).groupBy("topic", "key").agg(F.count(F.lit(1)).alias("published"), F.sum(F.octet_length("props")).cast("double").alias("bytes"))
+
+
+@query("select arrival, (sum(length(props)) over (partition by key order by arrival))::bigint as used, sum(length(props)) over (partition by key order by arrival) > 200 as over_quota from ev")
+def tenant_quota(spark, sf):
+    used = F.sum(F.octet_length("props")).over(Window.partitionBy("key").orderBy("arrival"))
+    return events(spark, sf).select("arrival", used.cast("long").alias("used"), (used > 200).alias("over_quota"))
+
+
+@query("select props, '[\"k\"]' as paths, count(*) as n from ev group by 1")
+def payload_fingerprint(spark, sf):
+    paths = F.to_json(F.array_sort(F.json_object_keys("props")))
+    return events(spark, sf).groupBy("props").agg(F.count(F.lit(1)).alias("n")).select("props", paths.alias("paths"), "n")
+
+
+# ---- assignment ----
+@query("select arrival, ['a', 'b', 'c'][(seq - 1) % 3 + 1] as member from ev")
+def partition_round_robin(spark, sf):
+    return A.round_robin(events(spark, sf), ["a", "b", "c"], ["topic"]).select("arrival", "member")
+
+
+@query("select key, arg_max(m, substr(sha256(key || chr(0) || m), 1, 16)) as member from (select distinct key from ev), (values ('a'), ('b'), ('c')) t(m) group by 1")
+def partition_rendezvous(spark, sf):
+    keys = events(spark, sf).select("key").distinct()
+    return keys.select("key", A.rendezvous(keys, "key", ["a", "b", "c"]).alias("member"))
+
+
+@query()
+def partition_by_key(spark, sf):
+    return events(spark, sf).select("arrival", A.partition_of(F.col("key"), 16, F.when(F.col("arrival") % 5 == 0, 3)).alias("partition"))
+
+
+# ---- audit ----
+@query("+ h as (select topic, arrival, seq, sha256(arrival || ':' || props) as c from ev), p as (select *, lag(case when arrival % 4001 = 17 then 'bad' else c end) over (partition by topic order by arrival) as b, coalesce(lag(c) over (partition by topic order by arrival), repeat('0', 64)) as want from h), v as (select topic, seq - 1 as i, case when arrival % 4001 = 17 then 'content' when b = 'bad' then 'link' end as why from p) select topic, count(*) as n, min(case when why is not null then i end) as broken_at, arg_min(why, case when why is not null then i end) as reason from v group by 1")
+def audit_chain_verify(spark, sf):
+    body = F.concat(F.col("arrival").cast("string"), F.lit(":"), "props")
+    chained = A.chain(events(spark, sf), ["topic"], "arrival", body)
+    spoilt = chained.withColumn("content_hash", F.when(F.col("arrival") % 4001 == 17, "bad").otherwise(F.col("content_hash")))
+    return A.verify_chain(spoilt, ["topic"], "arrival", body)
+
+
+@query("select arrival from ev where topic = 'events.view' and key = '9' and at_ms >= (select min(at_ms) from ev) + 86400000 and at_ms < (select max(at_ms) from ev) order by at_ms desc, arrival desc limit 5")
+def audit_query(spark, sf):
+    rows = events(spark, sf).withColumn("publisher_id", F.col("key"))
+    low, high = rows.agg(F.min("at_ms"), F.max("at_ms")).first()
+    return A.audit_query(rows, "events.view", "9", low + 86_400_000, high, 5).select("arrival")
+
+
+@query("select arrival, case when arrival % 5 = 4 then 'cycle' when arrival % 5 = 3 then 'depth' end as verdict, case arrival % 5 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 5 else 4 end as hops from ev")
+def lineage_depth(spark, sf):
+    t = F.col("topic")
+    hops = F.element_at(F.array(F.array(F.lit("x")), F.array(F.lit("x"), t), F.array(F.lit("x"), t, t), F.array(*map(F.lit, "abcde")), F.array(t, F.lit("y"), t, t)), (F.col("arrival") % 5 + 1).cast("int"))
+    return events(spark, sf).select("arrival", A.lineage_check(hops, t, 5).alias("verdict"), F.size(hops).alias("hops"))
+
+
+@query("select arrival from ev qualify max((topic = 'events.error' and value > 300)::int) over (partition by key || '/' || at_ms // 86400000) = 1")
+def tail_sample(spark, sf):
+    rows = events(spark, sf).withColumn("trace_id", F.concat("key", F.lit("/"), F.floor(F.col("at_ms") / 86_400_000).cast("string")))
+    return A.tail_sample(rows, (F.col("topic") == "events.error") & (F.col("value") > 300), 0.0).select("arrival")
+
+
+@query("select depth, count(*) as n from (select case when arrival % 7 = 0 then 0 else arrival % 7 end as depth from ev) group by 1")
+def span_depths(spark, sf):
+    spans = events(spark, sf).select(F.floor(F.col("arrival") / 7).alias("trace_id"), F.col("arrival").alias("span_id"), F.when(F.col("arrival") % 7 != 0, F.col("arrival") - 1).alias("parent_id"))
+    return A.span_depths(spans, 8).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select k as key, o as old, n as new, case when o is null then 'added' when n is null then 'removed' else 'changed' end as change from (select coalesce(a.key, b.key) as k, a.v as o, b.v as n from (select key, min(value) as v from ev where arrival % 50 <> 1 and key < '3' group by 1) a full join (select key, max(value) as v from ev where key > '12' group by 1) b on a.key = b.key) where o is distinct from n")
+def config_drift(spark, sf):
+    rows = events(spark, sf)
+    old, new = rows.where("arrival % 50 <> 1 and key < '3'").groupBy("key").agg(F.min("value").alias("value")), rows.where("key > '12'").groupBy("key").agg(F.max("value").alias("value"))
+    return A.config_drift(old, new).select("key", "old", "new", "change")
+
+
+@query("select n::bigint as attempt, least(60000, 500 * pow(2, n - 1))::bigint as delay_ms from range(1, 13) t(n)")
+def redelivery_backoff(spark, sf):
+    return spark.range(1, 13).select(F.col("id").alias("attempt"), scalars.redelivery_delay(F.col("id"), 500, 60_000).alias("delay_ms"))
+
+
+# ---- relational ----
+_JOINS = {"inner": "select c_custkey as id, count(*) as n, round(sum(o_totalprice), 2) as total from customer join orders on o_custkey = c_custkey group by 1", "left": "select c_custkey as id, count(o_orderkey) as n, round(coalesce(sum(o_totalprice), 0), 2) as total from customer left join orders on o_custkey = c_custkey group by 1", "left_semi": "select c_custkey as id from customer where exists (select 1 from orders where o_custkey = c_custkey)", "left_anti": "select c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey)"}
+
+
+def _join(how: str):
+    def f(spark, sf):
+        c, o = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_totalprice")
+        if how in ("left_semi", "left_anti"):
+            return c.join(o, "id", how)
+        if how == "inner":
+            return c.join(o, "id").groupBy("id").agg(F.count("o_orderkey").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        return c.join(o, "id", "left").groupBy("id").agg(F.count("o_orderkey").alias("n"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
+
+    return f
+
+
+for _how, _sql in _JOINS.items():
+    _f = _join(_how)
+    _f.__name__ = f"join_{_how.removeprefix('left_')}"
+    query(_sql, ev=False)(_f)
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem group by rollup (l_returnflag, l_linestatus)", ev=False)
+def rollup(spark, sf):
+    return table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)", ev=False)
+def cube(spark, sf):
+    return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _keys(spark, sf):
+    rows = events(spark, sf)
+    return rows.where("topic = 'events.signup' and value > 250").select("key"), rows.where("topic = 'events.purchase' and value > 250").select("key")
+
+
+for _name, _op in {"union": "union all", "intersect": "intersect", "except": "except"}.items():
+
+    def _f(spark, sf, name=_name):
+        a, b = _keys(spark, sf)
+        return {"union": a.union, "intersect": a.intersect, "except": a.subtract}[name](b)
+
+    _f.__name__ = f"set_{_name}"
+    query(f"select key from ev where topic = 'events.signup' and value > 250 {_op} select key from ev where topic = 'events.purchase' and value > 250")(_f)
+
+
+@query("select o_custkey as id, o_orderkey as orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders qualify place <= 3", ev=False)
+def rank_topk(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf, "orders").withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("orderkey"), "place")
+
+
+@query()
+def approx_distinct(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
