@@ -17,7 +17,7 @@ WINDOW, GRAM = 50, 16
 #: Bits of the filters (8 MB each); fuller filters only let more rows through.
 FILTER_BITS = 26
 #: A minimiser in more super-k-mers than this, and than a 65,536th of all, is dealt over salts.
-HOT_ROWS = 20_000
+HOT_ROWS = 1_000
 #: Super-k-mers that a bucket task is meant for.
 TASK_ROWS = 100_000
 _MEMO = 500_000
