@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import remember, slices, text_or_empty
 
 #: Words and chunks that a worker remembers before it starts anew; only speed depends on it.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 #: Bytes of text whose tokens leave the worker at once.
 PART_BYTES = 1 << 20
 OUT_SCHEMA = "doc_id long, ids binary, decoded string"

@@ -49,8 +49,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def remember(key) -> dict:
-    """A dict kept by this Python process over tasks, one for each key."""
+    """A dict kept by this Python process over tasks, as long as they ask for the same key: one operator's memory at a time."""
     kept = sys.__dict__.setdefault("_tidelog_kept", {})
+    if key not in kept:
+        kept.clear()
     return kept.setdefault(key, {})
 
 

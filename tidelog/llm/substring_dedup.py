@@ -20,7 +20,7 @@ FILTER_BITS = 26
 HOT_ROWS = 1_000
 #: Super-k-mers that a bucket task is meant for.
 TASK_ROWS = 100_000
-_MEMO = 500_000
+_MEMO = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -14,7 +14,7 @@ from .common import remember, slices, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Entries that a worker remembers before it starts anew; only speed depends on it.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 # Fixed value: the split pattern of a tokenizer whose tokens never hold or cross white space.
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
