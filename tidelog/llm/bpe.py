@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import json
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remember, slices, text_or_empty
+from .common import Memo, bounded_batches, remember, slices, text_or_empty
 
-#: Words and chunks that a worker remembers before it starts anew; only speed depends on it.
-MEMO_ENTRIES = 150_000
+#: Words that a worker remembers; only speed depends on it.
+MEMO_WORDS = 200_000
 #: Bytes of text whose tokens leave the worker at once.
 PART_BYTES = 1 << 20
 OUT_SCHEMA = "doc_id long, ids binary, decoded string"
@@ -158,57 +161,32 @@ class Codec:
         self.automaton = Automaton(path)
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.automaton.special, key=len, reverse=True))) + ")")
-        self.by_word: dict[str, list[int]] = {}
-        self.by_chunk: dict[bytes, tuple[bytes, str]] = {}
+        self.by_word = Memo(lambda words: [self._out(self.automaton.encode_word(w.encode())) for w in words], MEMO_WORDS)
 
-    def ids(self, text: str) -> list[int]:
-        import unicodedata
+    def _out(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), self.automaton.decode(ids)
 
-        out: list[int] = []
-        special = self.automaton.special
-        for piece in self.specials.split(text):
-            if piece in special:
-                out.append(special[piece])
-                continue
-            if piece.isascii():
-                piece = piece.lower()
-            else:  # letter by letter, so that a sigma's place in its word doesn't count
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            for word in (piece,) if piece.isalpha() else self.words.findall(piece):
-                got = self.by_word.get(word)
-                if got is None:
-                    if len(self.by_word) >= MEMO_ENTRIES:
-                        self.by_word.clear()
-                    got = self.by_word[word] = self.automaton.encode_word(word.encode())
-                out += got
-        return out
+    def _parts(self, text: str) -> list[tuple[bytes, str]]:
+        if not text.isascii():  # letter by letter, so that a sigma's place in its word doesn't count
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        words = self.words.findall(text.lower())
+        known = self.by_word.holding(set(words))
+        return [known[w] for w in words]
 
     def whole(self, text: str) -> tuple[bytes, str]:
-        """ids as little-endian unsigned 32-bit integers, and the text they decode to. No token crosses white space."""
-        import struct
-
-        chunks, memo = text.encode().split(), self.by_chunk  # bytes: at ASCII white space only
-        for chunk in chunks:
-            if chunk not in memo:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                    return self._whole_by_parts(chunks)
-                ids = self.ids(chunk.decode())
-                memo[chunk] = struct.pack(f"<{len(ids)}I", *ids), self.automaton.decode(ids)
-        got = [memo[c] for c in chunks]
-        return b"".join(x for x, _ in got), " ".join(x for _, x in got if x)
-
-    def _whole_by_parts(self, chunks: list[str]) -> tuple[bytes, str]:
-        import struct
-
-        ids = [i for c in chunks for i in self.ids(c.decode())]
-        return struct.pack(f"<{len(ids)}I", *ids), self.automaton.decode(ids)
+        """ids as little-endian unsigned 32-bit integers, and the text they decode to."""
+        special = self.automaton.special
+        got: list[tuple[bytes, str]] = []
+        for piece in self.specials.split(text):
+            got += [self._out([special[piece]])] if piece in special else self._parts(piece)
+        return b"".join([x for x, _ in got]), " ".join([x for _, x in got])
 
 
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = remember(("bpe", path))
         codec = kept.get("codec") or kept.setdefault("codec", Codec(path))
+        gc.disable()  # nothing here is cyclic, and there is much to look through
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
                 got = [codec.whole(t) for t in part.column("text").to_pylist()]
@@ -223,4 +201,5 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     A null or empty text, and one of white space only, has no ids and decodes to an empty string. A null
     doc_id is kept, repeated rows are encoded each, no rows give no rows, other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_run(tokenizer), OUT_SCHEMA)

@@ -56,6 +56,41 @@ def remember(key) -> dict:
     return kept.setdefault(key, {})
 
 
+class Memo:
+    """Values computed once for each key, as long as it stays in use: when `most` keys are young, those not asked
+    for since the last such time are forgotten. Only speed depends on `most`."""
+
+    def __init__(self, compute, most: int):
+        self.compute, self.most, self.young, self.old = compute, most, {}, {}
+
+    def one(self, key):
+        v = self.young.get(key)
+        return self.holding({key})[key] if v is None else v
+
+    def holding(self, keys: set) -> dict:
+        """A dict with all of the keys; compute gets the list of the unknown ones and gives their values."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young, new = self.young, {}, keys
+        old, young = self.old, self.young
+        unknown = []
+        for k in new:
+            v = old.get(k)
+            if v is None:
+                unknown.append(k)
+            else:
+                young[k] = v
+        if unknown:
+            young.update(zip(unknown, self.compute(unknown), strict=True))
+        return young
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python workers in batches of at most so many rows, so that long texts don't fill them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of `column` each (one longer text stands alone)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

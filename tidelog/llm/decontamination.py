@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import bounded_batches, slices, text_or_empty
 
 #: Words of an item's window.
 WINDOW = 13
@@ -113,6 +113,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, block_
     named; a null item_id is skipped, a null doc_id kept; rows that repeat a doc_id are judged each when the items fit one block,
     and else share their hits; no documents give no rows, no items no hits; other columns are ignored.
     """
+    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts, blocks = [], blocks_of(items.where(F.col("item_id").isNotNull()), block_bytes)
     for windows in blocks:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_stats, components, slices, text_or_empty, written
+from .common import attach_stats, bounded_batches, components, slices, text_or_empty, written
 
 SHINGLE, SEED, BITS_APART = 4, 42, 4
 #: Key rows that a bucket task is meant for.
@@ -173,6 +173,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, salts: int = 64) -> Da
     doc_id is kept and never is the smallest, unless all are null; no rows give no rows; other columns are
     ignored.
     """
+    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     fps = written(texts.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     salted = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))

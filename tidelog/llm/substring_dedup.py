@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_stats, filter_words, maybe_in, remember, slices, text_or_empty, written
+from .common import Memo, attach_stats, bounded_batches, filter_words, maybe_in, remember, slices, text_or_empty, written
 
 #: Words of a window, and of the grams among which a window's minimiser is chosen.
 WINDOW, GRAM = 50, 16
@@ -20,20 +20,15 @@ FILTER_BITS = 26
 HOT_ROWS = 1_000
 #: Super-k-mers that a bucket task is meant for.
 TASK_ROWS = 100_000
-_MEMO = 200_000
+#: Words whose hash a worker remembers; only speed depends on it.
+MEMO_WORDS = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+def _hashes() -> Memo:
     import xxhash
 
-    new = set(words).difference(memo)
-    if len(memo) + len(new) > _MEMO:
-        memo.clear()
-        new = set(words)
-    for w in new:
-        memo[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return remember("substring words").setdefault("memo", Memo(lambda words: list(map(xxhash.xxh64_intdigest, words)), MEMO_WORDS))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -41,13 +36,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def runs(words: list[bytes], lengths: np.ndarray, window: int, gram: int, memo: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+def runs(words: list[bytes], lengths: np.ndarray, window: int, gram: int, memo: Memo) -> tuple[np.ndarray, ...]:
     """The super-k-mers of several documents' words laid end to end: document, first word in the
     document, place in `words`, windows and minimiser of each run of windows with one minimiser."""
     n, none = len(words), np.zeros(0, np.int64)
     if n < window or not (lengths >= window).any():
         return none, none, none, none, none.view(np.uint64)
-    h, span = _mixed(_word_hashes(words, memo)), 1
+    known = memo.holding(set(words))
+    h, span = _mixed(np.fromiter(map(known.__getitem__, words), np.uint64, n)), 1
     with np.errstate(over="ignore"):
         factor, rest, got, covered = _M1, gram, None, 0
         while rest:  # the gram's hash, from hashes of 1, 2, 4 ... words
@@ -76,7 +72,7 @@ def runs(words: list[bytes], lengths: np.ndarray, window: int, gram: int, memo:
 
 
 def _laid(batches: Iterator[pa.RecordBatch], window: int, gram: int):
-    memo = remember("substring words")
+    memo = _hashes()
     for batch in batches:
         for part in slices(batch, "text"):
             split = [t.encode().split() for t in part.column("text").to_pylist()]
@@ -197,6 +193,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     bucket, where sorted windows are compared exactly. Windows of minimisers too frequent for one task
     meet by 128-bit digest in salted groups instead. Spans of a document may overlap.
     """
+    bounded_batches(spark)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     seen = texts.mapInArrow(_minimisers(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seen = written(seen, "minimisers")

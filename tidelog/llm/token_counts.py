@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remember, slices, text_or_empty
+from .common import Memo, bounded_batches, remember, slices, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
-#: Entries that a worker remembers before it starts anew; only speed depends on it.
-MEMO_ENTRIES = 200_000
+#: Words that a worker remembers; only speed depends on it.
+MEMO_WORDS = 200_000
 # Fixed value: the split pattern of a tokenizer whose tokens never hold or cross white space.
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -55,17 +55,12 @@ def _counter(path: str, by_words: bool):
     counts = lambda texts: [len(x) for x in tok.encode_batch(texts, add_special_tokens=False)]
     if not by_words:
         return counts
-    memo: dict[str, int] = {}
+    memo = Memo(lambda words: [n for at in range(0, len(words), 4096) for n in counts(words[at : at + 4096])], MEMO_WORDS)
 
     def by_word(texts: list[str]) -> list[int]:
         words = [t.split(" ") for t in texts]
-        new = list({w for ws in words for w in ws}.difference(memo))
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = list({w for ws in words for w in ws})
-        for at in range(0, len(new), 4096):
-            memo.update(zip(new[at : at + 4096], counts(new[at : at + 4096]), strict=True))
-        return [sum(map(memo.__getitem__, ws)) for ws in words]
+        known = memo.holding({w for ws in words for w in ws})
+        return [sum(map(known.__getitem__, ws)) for ws in words]
 
     return by_word
 
@@ -94,6 +89,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
     A null text counts as empty, an empty text has 0 tokens, a null doc_id is kept, repeated rows each
     get their count, no rows give no rows, other columns are ignored.
     """
+    bounded_batches(spark)
     by_words, version = wordwise(tokenizer), tokenizer_digest(tokenizer)
     text = normalised(text_or_empty(), by_words)
     keyed = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
