@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import Memo, bounded_batches, remember, slices, text_or_empty
 
 #: Words that a worker remembers; only speed depends on it.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 #: Bytes of text whose tokens leave the worker at once.
 PART_BYTES = 1 << 20
 OUT_SCHEMA = "doc_id long, ids binary, decoded string"
@@ -187,10 +187,13 @@ def _run(path: str):
         kept = remember(("bpe", path))
         codec = kept.get("codec") or kept.setdefault("codec", Codec(path))
         gc.disable()  # nothing here is cyclic, and there is much to look through
-        for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                got = [codec.whole(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.string())], ["doc_id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", PART_BYTES):
+                    got = [codec.whole(t) for t in part.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            gc.enable()
 
     return run
 
