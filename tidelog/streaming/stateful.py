@@ -16,12 +16,14 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable
     out = StructType.fromDDL(schema)
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        fold = pickle.loads(state.get[0]) if state.exists else make()
+        fold = make()
+        if state.exists:
+            vars(fold).update(pickle.loads(state.get[0]))
         rows = pd.concat(list(frames), ignore_index=True).sort_values(order)
         got = []
         for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
             got += fold.step(row)
-        state.update((pickle.dumps(fold),))
+        state.update((pickle.dumps(vars(fold)),))
         yield pd.DataFrame(got, columns=out.names) if got else pd.DataFrame(columns=out.names)
 
     return df.groupBy(*keys).applyInPandasWithState(update, out, "state binary", "append", "NoTimeout")
