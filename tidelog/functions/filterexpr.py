@@ -188,7 +188,12 @@ class PlainField:
 
 
 def _compare(field, op: str, literal) -> Column:
-    sure = lambda c: F.coalesce(c, F.lit(False))
+    plain = isinstance(field, PlainField) and (field.kind is type(literal) or op == "=~" and field.kind is str)
+
+    def sure(c: Column) -> Column:
+        """Two-valued; for a plain column in a form that the scan understands."""
+        return field.exists() & c if plain else F.coalesce(c, F.lit(False))
+
     if op in ("==", "!="):
         equal = field.is_null() if literal is None else field.of(type(literal)) == F.lit(literal)
         return sure(equal) if op == "==" else ~sure(equal)
@@ -199,9 +204,8 @@ def _compare(field, op: str, literal) -> Column:
     value, other = field.of(type(literal)), F.lit(literal)
     if isinstance(literal, str) and (not literal.isascii() or isinstance(field, VariantField)):
         value, other = F.encode(value, "UTF-16BE"), F.encode(other, "UTF-16BE")  # order of UTF-16 code units
-    elif isinstance(literal, float):
-        value = F.when(~F.isnan(value), value) if isinstance(field, VariantField) else value
-    return sure({">": value > other, ">=": value >= other, "<": value < other, "<=": value <= other}[op])
+    test = {">": value > other, ">=": value >= other, "<": value < other, "<=": value <= other}[op]
+    return sure(test & ~F.isnan(value) if isinstance(literal, float) else test)
 
 
 def compile_filter(text: str, payload: str = "payload", columns: dict[str, PlainField] | None = None) -> Column:
