@@ -123,7 +123,11 @@ _FOUND = "doc_id long, start long, n long, digest binary"
 
 
 def _judge(window: int):
-    """Buckets, sorted by (m, salt): which windows start in a smaller doc_id too; a hot bucket's windows as digests."""
+    """Buckets, sorted by (m, salt): which windows start in a smaller doc_id too.
+
+    Of a hot minimiser a bucket sees one salt's documents. What has a smaller doc_id there is settled; what has
+    the smallest there goes on as a digest, to be held against the other salts: a row for each distinct window.
+    """
 
     def windows(packed: bytes) -> list[bytes]:
         words = packed.split(b" ")
@@ -132,8 +136,8 @@ def _judge(window: int):
             offsets.append(offsets[-1] + len(w) + 1)
         return [packed[offsets[i] : offsets[i + window] - 1] for i in range(len(words) - window + 1)]
 
-    def bucket(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
-        if len({d for d, _, _ in rows}) < 2:
+    def bucket(rows: list[tuple[int, int, bytes]], hot: bool) -> Iterator[tuple]:
+        if not hot and len({d for d, _, _ in rows}) < 2:
             return
         by_text: dict[bytes, int] = {}
         for d, _, packed in rows:
@@ -153,10 +157,10 @@ def _judge(window: int):
                 elif begin is not None:
                     yield d, start + begin, i - begin + window - 1, None
                     begin = None
-
-    def hot_rows(d: int, start: int, packed: bytes) -> Iterator[tuple]:
-        for i, w in enumerate(windows(packed)):
-            yield d, start + i, window, hashlib.blake2b(w, digest_size=16).digest()
+            if hot and d in firsts[packed]:
+                for i, w in enumerate(each[packed]):
+                    if least[w] == d:
+                        yield d, start + i, window, hashlib.blake2b(w, digest_size=16).digest()
 
     def run(batches):
         key, rows, out = None, [], []
@@ -169,16 +173,13 @@ def _judge(window: int):
 
         for batch in batches:
             for m, salt, hot, d, start, packed in zip(*(batch.column(c).to_pylist() for c in ("m", "salt", "hot", "doc_id", "start", "packed")), strict=True):
-                if hot:
-                    out += hot_rows(d, start, packed)
-                else:
-                    if (m, salt) != key:
-                        out += bucket(rows)
-                        key, rows = (m, salt), []
-                    rows.append((d, start, packed))
+                if (m, salt, hot) != key:
+                    out += bucket(rows, key is not None and key[2])
+                    key, rows = (m, salt, hot), []
+                rows.append((d, start, packed))
                 if len(out) > 50_000:
                     yield flush()
-        out += bucket(rows)
+        out += bucket(rows, key is not None and key[2])
         if out:
             yield flush()
 
@@ -190,8 +191,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
 
     A pass over the texts counts each minimiser's documents. A second packs the super-k-mers of minimisers
     that several documents have (as a bounded Bloom filter tells) and sends each to its minimiser's
-    bucket, where sorted windows are compared exactly. Windows of minimisers too frequent for one task
-    meet by 128-bit digest in salted groups instead. Spans of a document may overlap.
+    bucket, where sorted windows are compared exactly. Minimisers too frequent for one task are dealt over
+    salts; what is smallest in its salt meets the other salts by 128-bit digest. Spans of a document may overlap.
     """
     bounded_batches(spark)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
