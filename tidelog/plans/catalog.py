@@ -79,11 +79,12 @@ def filter_expr_regex(spark, sf):
     return with_payload(events(spark, sf)).where(compile_filter("!(topic =~ /^events\\.p/) || value > 400.5", columns=cols)).select("arrival")
 
 
-_MIXED = F.parse_json(F.when(F.col("arrival") % 7 == 0, "{}").when(F.col("arrival") % 7 == 1, '{"k":null}').when(F.col("arrival") % 7 == 2, '{"k":"5"}').otherwise(F.col("props")))
+def _mixed_payload():
+    return F.parse_json(F.when(F.col("arrival") % 7 == 0, "{}").when(F.col("arrival") % 7 == 1, '{"k":null}').when(F.col("arrival") % 7 == 2, '{"k":"5"}').otherwise(F.col("props")))
 
 
 def mixed(spark, sf):
-    return events(spark, sf).withColumn("payload", _MIXED)
+    return events(spark, sf).withColumn("payload", _mixed_payload())
 
 
 _MIXED_SQL = "+ m as (select *, case arrival % 7 when 0 then '{}' when 1 then '{\"k\":null}' when 2 then '{\"k\":\"5\"}' else props end as j from ev) "
@@ -543,12 +544,13 @@ def json_patches(spark, sf):
 
 
 # ---- order ----
-_LANE = F.when(F.col("o_orderpriority").substr(1, 1).isin("1", "2"), "urgent").when(F.col("o_orderpriority").startswith("3"), "normal").otherwise("bulk")
+def _lane():
+    return F.when(F.col("o_orderpriority").substr(1, 1).isin("1", "2"), "urgent").when(F.col("o_orderpriority").startswith("3"), "normal").otherwise("bulk")
 _LANE_SQL = "case when o_orderpriority[1] in ('1', '2') then 'urgent' when o_orderpriority[1] = '3' then 'normal' else 'bulk' end"
 
 
 def _orders(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("arrival"), F.col("o_custkey").alias("customer"), _LANE.alias("lane"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") * 7919 % 100_003).alias("deadline_ms"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("arrival"), F.col("o_custkey").alias("customer"), _lane().alias("lane"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") * 7919 % 100_003).alias("deadline_ms"))
 
 
 @query(f"select o_orderkey as arrival, row_number() over (partition by o_custkey order by case {_LANE_SQL} when 'urgent' then 0 when 'normal' then 1 else 2 end, case when o_orderkey % 3 = 0 then o_orderkey * 7919 % 100003 end nulls last, o_orderkey) as place from orders", ev=False)
