@@ -329,3 +329,72 @@ class BoundedStore(Fold):
 
     def finish(self) -> list[dict]:
         return list(self.rows.values())
+
+
+class CircuitBreaker(Fold):
+    """closed: after `most` rows in a row that found every subscriber degraded, open. open: rows are refused until the
+    probe interval has passed; the next one is admitted as the probe, and closes or re-opens by what it finds."""
+
+    def __init__(self, most: int, probe_ms: int, degraded: str = "degraded", at: str = "at_ms"):
+        self.most, self.probe_ms, self.degraded, self.at = most, probe_ms, degraded, at
+        self.streak, self.opened = 0, None
+
+    def step(self, row: dict) -> list[dict]:
+        now, bad = row[self.at], bool(row[self.degraded])
+        if self.opened is not None and now - self.opened < self.probe_ms:
+            return [row | {"admitted": False, "state": "open"}]
+        self.streak = self.streak + 1 if bad else 0
+        reopen = bad and (self.opened is not None or self.streak >= self.most)
+        self.opened = now if reopen else None
+        return [row | {"admitted": True, "state": "open" if reopen else "closed"}]
+
+
+class SlowStart(Fold):
+    """Delivers a row if the ramp has a token for it; tokens refill at the ramp's rate, and keep one second's worth."""
+
+    def __init__(self, initial: float, ramp_ms: int, target: float | None = None, strategy: str = "linear", at: str = "at_ms"):
+        self.initial, self.ramp_ms, self.target, self.strategy, self.at = initial, ramp_ms, target, strategy, at
+        self.tokens, self.start, self.last = float(initial), None, None
+
+    def rate(self, now: int) -> float:
+        t, end = max(0, now - self.start) / self.ramp_ms, 2 * self.initial if self.target is None else self.target
+        if t >= 1:
+            return float("inf") if self.target is None else float(self.target)
+        return self.initial + (end - self.initial) * t if self.strategy == "linear" else self.initial * (end / self.initial) ** t
+
+    def step(self, row: dict) -> list[dict]:
+        now = row[self.at]
+        self.start, before = (now, now) if self.start is None else (self.start, self.last)
+        rate = self.rate(now)
+        self.last = max(now, before)
+        if rate == float("inf"):
+            return [row | {"admitted": True}]
+        self.tokens = min(max(1.0, rate), self.tokens + max(0, now - before) * rate / 1000)
+        ok = self.tokens >= 1
+        self.tokens -= ok
+        return [row | {"admitted": bool(ok)}]
+
+
+class BoundedSessions(Fold):
+    """Counts of sessions by key, of which at most `most` are open over all keys: the one that was active the longest
+    ago is given out when another needs its place. A row at exactly the gap begins a new session."""
+
+    def __init__(self, gap_ms: int, most: int = 1024, ident: str = "key", at: str = "at_ms"):
+        self.gap_ms, self.most, self.ident, self.at, self.open = gap_ms, most, ident, at, OrderedDict()
+
+    def _out(self, key: str) -> dict:
+        start, end, n = self.open.pop(key)
+        return {self.ident: key, "session_start": start, "session_end": end, "count": n}
+
+    def step(self, row: dict) -> list[dict]:
+        key, now, out = row[self.ident], row[self.at], []
+        while self.open and now - next(iter(self.open.values()))[1] >= self.gap_ms:
+            out.append(self._out(next(iter(self.open))))
+        if key not in self.open and len(self.open) >= self.most:
+            out.append(self._out(next(iter(self.open))))
+        start, _, n = self.open.pop(key, (now, now, 0))
+        self.open[key] = (start, now, n + 1)
+        return out
+
+    def finish(self) -> list[dict]:
+        return [self._out(k) for k in list(self.open)]

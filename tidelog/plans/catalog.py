@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import filterexpr, patterns, scalars
+from ..functions import crypto, filterexpr, graphql, patterns, scalars
 from ..functions.filterexpr import PlainField, compile_filter
 from ..operators import analytics as A
+from ..operators import bloom, folds
 from ..operators import core as C
-from ..operators import folds
+from ..operators import delivery as D
 from ..operators.folds import ordered_fold
-from ..sources.events import sequenced, to_events, with_payload
+from ..sources.events import number, sequenced, to_events, with_payload
+from ..streaming import stateful
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -146,9 +148,9 @@ def schema_migration(spark, sf):
     return events(spark, sf).where("arrival % 3 = 0").select("arrival", C.migrate(F.col("value"), 1, 4, steps).alias("migrated"))
 
 
-@query("select arrival, length(props) as bytes from ev where length(props) <= 7")
+@query("select arrival, length(props) as bytes from ev where length(props) <= 8")
 def size_gate(spark, sf):
-    return events(spark, sf).select("arrival", F.octet_length("props").cast("long").alias("bytes")).where("bytes <= 7")
+    return events(spark, sf).select("arrival", F.octet_length("props").cast("long").alias("bytes")).where("bytes <= 8")
 
 
 @query("+ n as (select max(at_ms) as now from ev) select arrival from ev, n where now < least(at_ms + case when topic = 'events.click' then 30 * 86400000::bigint when arrival % 10 = 0 then 90 * 86400000::bigint else 60 * 86400000::bigint end, at_ms + 80 * 86400000::bigint)")
@@ -177,9 +179,9 @@ def namespace_alias(spark, sf):
     return rows.select("arrival", F.concat(F.lit("acme/"), patterns.rename_template(F.col("topic"), "events.*", "e.$1")).alias("topic"))
 
 
-@query("select arrival, case when topic = 'events.error' then 'acl' when value < 20 then 'schema' when length(props) > 7 then 'size' when arrival % 11 = 0 then 'pressure' end as gate from ev")
+@query("select arrival, case when topic = 'events.error' then 'acl' when value < 20 then 'schema' when length(props) > 8 then 'size' when arrival % 11 = 0 then 'pressure' end as gate from ev")
 def admission_first_gate(spark, sf):
-    gates = [("acl", F.col("topic") == "events.error"), ("schema", F.col("value") < 20), ("size", F.octet_length("props") > 7), ("pressure", F.col("arrival") % 11 == 0)]
+    gates = [("acl", F.col("topic") == "events.error"), ("schema", F.col("value") < 20), ("size", F.octet_length("props") > 8), ("pressure", F.col("arrival") % 11 == 0)]
     return events(spark, sf).select("arrival", C.first_gate(gates).alias("gate"))
 
 
@@ -754,6 +756,206 @@ def redelivery_backoff(spark, sf):
     return spark.range(1, 13).select(F.col("id").alias("attempt"), scalars.redelivery_delay(F.col("id"), 500, 60_000).alias("delay_ms"))
 
 
+# ---- subscriptions, signatures, delivery ----
+_GQL = """subscription Big($least: String) { events(topic: "events.*", filter: $least) { topic key seq } }"""
+
+
+@query("select topic, key, seq from ev where value >= 150 and cast(json_extract(props, '$.k') as int) < 50")
+def graphql_subscription(spark, sf):
+    return graphql.subscribe(with_payload(log(spark, sf)), _GQL, {"least": "value >= 150 && props.k < 50"})
+
+
+@query("select arrival, 'mirror.' || replace(topic, 'events.', '') || '.eu' as topic from ev")
+def mirror_rename(spark, sf):
+    return events(spark, sf).select("arrival", patterns.rename_template(F.col("topic"), "events.*", "mirror.$1.eu").alias("topic"))
+
+
+@query("select arrival, round(value * 2 + 1, 4) as value from ev where value > 300")
+def transform_chain(spark, sf):
+    steps = [lambda d: d.where("value > 300"), lambda d: d.withColumn("value", F.col("value") * 2), lambda d: d.withColumn("value", F.col("value") + 1)]
+    return D.transformed(events(spark, sf), steps).select("arrival", r2("value", "value"))
+
+
+@query("select arrival, key, row_number() over (partition by key order by arrival) as key_seq from ev")
+def key_sequence(spark, sf):
+    return number(events(spark, sf), ["key"], ["arrival"], "key_seq").select("arrival", "key", "key_seq")
+
+
+@query("select topic, arrival from ev qualify row_number() over (partition by topic order by arrival desc) <= 40")
+def retention_entries(spark, sf):
+    return C.retain(log(spark, sf), max_rows=40).select("topic", "arrival")
+
+
+@query("select arrival, at_ms + case arrival % 7 when 2 then 1000 when 3 then 5000 when 4 then 30000 when 5 then null when 6 then null else 0 end as retry_at, arrival % 7 >= 5 as dead from ev")
+def retry_ladder(spark, sf):
+    rows = D.retries(events(spark, sf), (F.col("arrival") % 7 + 1).cast("int"), F.col("at_ms"), 2, [1000, 5000, 30_000])
+    return rows.select("arrival", "retry_at", "dead")
+
+
+@query("select arrival, case when value > 250 then 'nack' else 'timeout' end as reason from ev where arrival % 7 >= 5")
+def dead_letter_split(spark, sf):
+    rows = D.retries(events(spark, sf), (F.col("arrival") % 7 + 1).cast("int"), F.col("at_ms"), 2, [1000, 5000, 30_000])
+    return D.dead_letters(rows, F.when(F.col("value") > 250, "nack").otherwise("timeout"))[1].select("arrival", "reason")
+
+
+@query("select topic, count(*) as n, count(*) filter (arrival * 37 % 500 > 400) as missed, quantile_disc(arrival * 37 % 500, 0.99)::double as p99 from ev where arrival % 9 <> 0 group by 1")
+def ack_latency_slo(spark, sf):
+    rows = events(spark, sf)
+    acked = rows.where("arrival % 9 <> 0").withColumn("acked_ms", F.col("at_ms") + F.col("arrival") * 37 % 500)
+    got = D.ack_latency(rows, acked, 400)
+    missed = got.groupBy("topic").agg(F.count_if("missed").alias("missed"))
+    return A.summary(got, ["topic"], "ms", "arrival", last=None).join(missed, "topic").select("topic", "n", "missed", F.col("p99").cast("double").alias("p99"))
+
+
+@query("""+ g as (select topic, unnest(['acl', 'schema', 'size']) as gate, unnest([value / 100, value / 50, 5.0 + arrival % 3]) as ms from ev)
+ select topic, gate, count(*) as n, round(quantile_disc(ms, 0.99), 4) as p99 from g group by 1, 2 order by p99 desc, topic, gate limit 5""")
+def admission_latency(spark, sf):
+    ms = {"acl": F.col("value") / 100, "schema": F.col("value") / 50, "size": F.lit(5.0) + F.col("arrival") % 3}
+    rows = events(spark, sf).select("topic", "arrival", F.explode(F.create_map(*[x for k, v in ms.items() for x in (F.lit(k), v)])).alias("gate", "ms"))
+    return A.summary(rows, ["topic", "gate"], "ms", "arrival", last=None).orderBy(F.desc("p99"), "topic", "gate").limit(5).select("topic", "gate", "n", r2("p99", "p99"))
+
+
+@query("select topic, count(*) as n, max(greatest(arrival * 13 % 90 - 10, 0))::double as max, quantile_disc(greatest(arrival * 13 % 90 - 10, 0), 0.5)::double as p50 from ev where arrival % 4 = 0 group by 1")
+def schedule_skew(spark, sf):
+    rows = events(spark, sf).where("arrival % 4 = 0").withColumn("skew", F.col("arrival") * 13 % 90 - 10)
+    return A.summary(rows, ["topic"], "skew", "arrival", last=None).select("topic", "n", F.col("max").cast("double").alias("max"), F.col("p50").cast("double").alias("p50"))
+
+
+@query("select topic, count(*) as depth, (select max(at_ms) from ev) - min(at_ms) as lag_ms from ev where arrival % 17 = 3 group by 1")
+def lag_watermark(spark, sf):
+    rows = events(spark, sf)
+    return D.lag_watermark(rows, rows.where("arrival % 17 <> 3"), ["topic"], now_of(rows))
+
+
+@query("select arrival, reason from (select arrival, topic, case arrival % 3 when 0 then 'ttl' when 1 then 'queue' else 'rate' end as reason from ev) where topic = 'events.view' and reason = 'queue' order by arrival desc limit 30")
+def drop_journal(spark, sf):
+    reason = F.element_at(F.array(F.lit("ttl"), F.lit("queue"), F.lit("rate")), (F.col("arrival") % 3 + 1).cast("int"))
+    return D.drops(events(spark, sf).withColumn("reason", reason), 30, topic="events.view", reason="queue").select("arrival", "reason")
+
+
+@query("select arrival, ceil(seq / case topic when 'events.purchase' then 4.0 when 'events.view' then 1.0 else 2.0 end)::bigint as round from ev")
+def subscriber_priority(spark, sf):
+    weight = F.when(F.col("topic") == "events.purchase", D.PRIORITIES["high"]).when(F.col("topic") == "events.view", D.PRIORITIES["low"]).otherwise(D.PRIORITIES["normal"])
+    return D.subscriber_order(events(spark, sf), "topic", weight).select("arrival", "round")
+
+
+@query("+ q as (select topic, arg_min(at_ms + 86400000 * (1 + arrival % 3), arrival) - (select min(at_ms) + 100000000 from ev) as left_ms, min(arrival) as arrival from ev group by 1) select * from q where left_ms > 0 and left_ms <= 172800000")
+def expiring_soon(spark, sf):
+    rows = events(spark, sf).withColumn("deadline_ms", F.col("at_ms") + 86_400_000 * (1 + F.col("arrival") % 3))
+    return D.expiring_soon(rows, ["topic"], rows.agg(F.min("at_ms")).first()[0] + 100_000_000, "deadline_ms", 172_800_000)
+
+
+@query("""select arrival, (select min(greatest(epoch_ms(s), at_ms)) from (select make_timestamp(at_ms * 1000) as t, date_trunc('day', make_timestamp(at_ms * 1000)) + to_days(k::int) + interval 9 hour as s from range(-1, 9) r(k))
+ where dayofweek(s) between 1 and 5 and s + interval 8 hour > t) as release_ms from ev""")
+def delivery_windows(spark, sf):
+    window = {"start": "09:00", "end": "17:00", "days": {1, 2, 3, 4, 5}}
+    return events(spark, sf).select("arrival", D.release_at(F.col("at_ms"), [window]).alias("release_ms"))
+
+
+@query("select epoch_ms(t) as at_ms from range(timestamp '2024-02-01', timestamp '2024-03-05', interval 1 minute) r(t) where minute(t) in (0, 20, 40) and hour(t) between 8 and 10 and dayofweek(t) between 1 and 5 and t > timestamp '2024-02-01'", ev=False)
+def cron_occurrences(spark, sf):
+    return D.occurrences(spark, "*/20 8-10 * * MON-FRI", 1_706_745_600_000, 1_709_596_799_999)
+
+
+_KEYS = {"k1": b"first secret", "k2": b"second secret" * 8}
+
+
+def _hmac_sql(message: str, secret: bytes) -> str:
+    import hashlib
+
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = ("unhex('" + bytes(b ^ p for b in key).hex() + "')" for p in (0x36, 0x5C))
+    return f"sha256({outer} || unhex(sha256({inner} || {message})))"
+
+
+_BASE_SQL = "(encode(topic) || unhex('00') || encode(seq::varchar) || encode(props))"
+
+
+@query(f"select topic, seq, {_hmac_sql(_BASE_SQL, _KEYS['k2'])} as sig from ev")
+def sign_messages(spark, sf):
+    return log(spark, sf).select("topic", "seq", crypto.hmac_sha256(crypto.signing_base(F.col("topic"), F.col("seq"), F.col("props")), _KEYS["k2"]).alias("sig"))
+
+
+@query("select topic, seq, arrival % 10 not in (3, 4) as valid from ev")
+def verify_signatures(spark, sf):
+    base = crypto.signing_base(F.col("topic"), F.col("seq"), F.col("props"))
+    kid = F.when(F.col("arrival") % 10 == 3, "gone").when(F.col("arrival") % 2 == 0, "k1").otherwise("k2")
+    sig = F.when(kid == "k1", crypto.hmac_sha256(base, _KEYS["k1"])).otherwise(crypto.hmac_sha256(base, _KEYS["k2"]))
+    rows = log(spark, sf).withColumn("kid", kid).withColumn("sig", F.when(F.col("arrival") % 10 == 4, F.upper(sig)).otherwise(sig))
+    return rows.select("topic", "seq", crypto.verify(base, F.col("kid"), F.col("sig"), _KEYS).alias("valid"))
+
+
+@query("select arrival, case when arrival % 4 <> 0 then props end as text from ev")
+def encryption_round_trip(spark, sf):
+    old, new = b"0123456789abcdef", b"fedcba9876543210"
+    rows = events(spark, sf).withColumn("kid", F.when(F.col("arrival") % 4 == 0, "old").otherwise("new"))
+    rows = rows.withColumn("data", F.when(F.col("kid") == "old", crypto.encrypt(F.col("props"), old)).otherwise(crypto.encrypt(F.col("props"), new)))
+    return rows.select("arrival", crypto.decrypt(F.col("data"), F.col("kid"), {"new": new}).alias("text"))
+
+
+@query("select arrival from ev where key in (select key from ev where arrival % 97 = 5)")
+def bloom_semi_join(spark, sf):
+    """The filter thins the rows before the exact join, which is the authority."""
+    rows = events(spark, sf)
+    wanted = rows.where("arrival % 97 = 5").select("key").distinct()
+    words = bloom.sizing(100_000, 0.01)[0] // 64
+    thinned = bloom.annotate(rows, F.col("key"), bloom.build(wanted, F.col("key"), words), words).where("maybe")
+    return thinned.join(wanted, "key", "left_semi").select("arrival")
+
+
+_LATE_SQL = "select arrival, at_ms < max(at_ms) over (partition by topic order by (arrival + (arrival * 37) % 11), arrival rows between unbounded preceding and 1 preceding) - case topic when 'events.view' then 0 else 3600000 end as late from ev"
+
+
+@query(f"select arrival, coalesce(late, false) as late from ({_LATE_SQL})")
+def allowed_lateness(spark, sf):
+    rows = C.resolve_rules(events(spark, sf), [("events.*", HOUR), ("events.view", 0)], "lateness")
+    order = Window.partitionBy("topic").orderBy(F.col("arrival") + F.col("arrival") * 37 % 11, "arrival").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("arrival", F.coalesce(F.col("at_ms") < F.max("at_ms").over(order) - F.col("lateness"), F.lit(False)).alias("late"))
+
+
+@query()
+def circuit_breaker(spark, sf):
+    rows = events(spark, sf).select("topic", "arrival", "at_ms", (F.col("value") > 300).alias("degraded"))
+    return ordered_fold(rows, ["topic"], ["arrival"], lambda: folds.CircuitBreaker(3, HOUR), "topic string, arrival long, admitted boolean, state string")
+
+
+@query()
+def slow_start(spark, sf):
+    rows = events(spark, sf).select("topic", "arrival", "at_ms")
+    return ordered_fold(rows, ["topic"], ["arrival"], lambda: folds.SlowStart(1 / 7200, 240 * HOUR, 1 / 1800), "topic string, arrival long, admitted boolean")
+
+
+@query()
+def sessions_bounded(spark, sf):
+    rows = events(spark, sf).select("topic", "key", "arrival", "at_ms")
+    return ordered_fold(rows, ["topic"], ["arrival"], lambda: folds.BoundedSessions(8 * HOUR, 20), "key string, session_start long, session_end long, count long")
+
+
+# ---- streams ----
+def _stream(spark, sf):
+    """events.parquet as a stream of the canonical relation; its few columns are read from the file's own schema."""
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return raw.select(F.concat(F.lit("events."), "event_type").alias("topic"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("ts"), scalars.millis("ts").alias("at_ms"), F.get_json_object("props", "$.k").alias("message_id"))
+
+
+@query("+ w as (select topic, at_ms // 21600000 * 21600000 as window_start, count(*) as count from ev group by 1, 2) select * from w where window_start + 21600000 <= (select max(at_ms) - 3600000 from ev)")
+def stream_windows(spark, sf):
+    """Tumbling windows of a stream that its watermark has closed."""
+    got = stateful.windowed_counts(_stream(spark, sf), "6 hours", "1 hour", ["topic"])
+    return stateful.run_available(got.select("topic", F.unix_millis("window.start").alias("window_start"), "count"), "stream-windows")
+
+
+@query()
+def stream_dedup(spark, sf):
+    """The fold of dedup_idempotent with its state kept by the stream."""
+    rows = _stream(spark, sf).select("topic", "message_id", "arrival", "at_ms")
+    got = stateful.stream_fold(rows, ["topic", "message_id"], ["arrival"], lambda: folds.Dedup(72 * HOUR), _ROW)
+    return stateful.run_available(got, "stream-dedup").where("admitted").select("arrival")
+
+
+_SQL["stream_dedup"] = _SQL["dedup_idempotent"]
+
+
 # ---- relational ----
 _JOINS = {"inner": "select c_custkey as id, count(*) as n, round(sum(o_totalprice), 2) as total from customer join orders on o_custkey = c_custkey group by 1", "left": "select c_custkey as id, count(o_orderkey) as n, round(coalesce(sum(o_totalprice), 0), 2) as total from customer left join orders on o_custkey = c_custkey group by 1", "left_semi": "select c_custkey as id from customer where exists (select 1 from orders where o_custkey = c_custkey)", "left_anti": "select c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey)"}
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,3 +41,15 @@ def stream_pairs(left: DataFrame, right: DataFrame, within: str) -> DataFrame:
     a = left.withWatermark("ts", within).select(F.col("key").alias("l_key"), F.col("ts").alias("l_ts"), F.col("arrival").alias("l_arrival"))
     b = right.withWatermark("ts", within).select(F.col("key").alias("r_key"), F.col("ts").alias("r_ts"), F.col("arrival").alias("r_arrival"))
     return a.join(b, F.expr(f"l_key = r_key and r_ts >= l_ts and r_ts <= l_ts + interval {within}"))
+
+
+def run_available(stream: DataFrame, what: str) -> DataFrame:
+    """Run a stream over all there is, into files of the shared folder with its checkpoint beside them, and read those.
+
+    spark.checkpoint.dir names the shared folder; one of our own is used only where it is unset.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
+    path = f"{base.rstrip('/')}/tidelog/{what}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
