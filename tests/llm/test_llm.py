@@ -389,6 +389,34 @@ def test_toxicity(spark, empty):
     assert toxicity.score(spark, empty, toxicity.learn(spark, empty, marks.limit(0))).count() == 0
 
 
+def test_toxicity_words_apart(spark):
+    """A toxic word keeps its own counts beside an ordinary word with the same low 20 hash bits, and blocks lose no word."""
+    import xxhash
+
+    seen = {}
+    for i in range(20000):
+        w, low = f"w{i}", xxhash.xxh32_intdigest(f"w{i}".encode()) & 0xFFFFF
+        if low in seen:
+            pair = seen[low], w
+            break
+        seen[low] = w
+    rare, common = pair
+    rows, labels = toxic_rows(600)
+    rows = [(i, t.replace("idiot", rare).replace("Scum", rare).replace("loser!", rare) if i % 6 == 0 else f"{t} {' '.join([common] * 30)}") for i, t in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(spark, docs, marks)
+    got = {r.doc_id: r for r in toxicity.score(spark, docs, model).collect()}
+    out = [(i, t) for i, t in labels if got[i].held_out]
+    assert sum(got[i].predicted == t for i, t in out) >= 0.97 * len(out) and sum(got[i].predicted for i, t in out if t) >= 0.9 * sum(t for _, t in out)
+    assert model.size >= 1
+    # several blocks: the model with made-up telling words besides
+    model.telling = model.telling.unionByName(spark.createDataFrame([(k, 1.0) for k in range(40)], "word long, weight double"))
+    model.size += 40
+    more = {r.doc_id: r for r in toxicity.score(spark, docs.unionByName(docs), model, block_words=5).collect()}
+    assert more.keys() == got.keys() and all(more[i].score == pytest.approx(got[i].score, rel=1e-9) for i in got)
+    assert toxicity.score(spark, docs.unionByName(docs), model, block_words=5).count() == 2 * len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
