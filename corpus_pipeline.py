@@ -12,42 +12,79 @@ from tidelog.llm.common import filter_words, maybe_in, new_dir, table, written
 FILTER_BITS = 26
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, bad) -> DataFrame:
-    """The rows of docs whose doc_id has no verdict that says otherwise.
+#: The column that tells a stage's rows apart, whatever their doc_ids.
+ROW = "_row"
 
-    Rows that a bounded filter of the dropped doc_ids clears stay where they are; the rest meet the verdicts.
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row, written once so that all passes of a stage see the same keys."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """The rows under their keys as doc_ids, for operators whose verdict hangs on the text alone."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, verdicts: DataFrame, bad, key: str) -> DataFrame:
+    """The rows that have no verdict that says otherwise; key: the verdicts' column with the rows' keys.
+
+    Rows that a bounded filter of the dropped keys clears stay where they are; the rest meet the verdicts.
     """
-    drop = written(verdicts.where(bad).select(F.col("doc_id").cast("long").alias("_id")).distinct(), "dropped")
+    drop = written(verdicts.where(bad).select(F.col(key).alias("_id")), "dropped")
     words = written(filter_words(drop.select(F.xxhash64("_id").alias("h")), FILTER_BITS), "dropped-bits")
-    marked = maybe_in(docs, F.xxhash64(F.col("doc_id").cast("long")), words, FILTER_BITS, "_maybe")
-    maybe = marked.where("_maybe").join(drop, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return marked.where("not _maybe").unionByName(maybe).select(*docs.columns)
+    marked = maybe_in(rows, F.xxhash64(ROW), words, FILTER_BITS, "_maybe")
+    maybe = marked.where("_maybe").join(drop, F.col(ROW) == F.col("_id"), "left_anti")
+    return marked.where("not _maybe").unionByName(maybe).select(*rows.columns).drop(ROW)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
-    model = toxicity.learn(spark, docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(spark, docs, model), F.col("predicted") == 1)
+    """Documents that aren't predicted toxic.
+
+    Each row is judged by its own text: rows with a null or repeated doc_id stay or go one by one, and a null
+    or empty text has no evidence.
+    """
+    rows = _rows(docs)
+    model = toxicity.learn(spark, rows, table(spark, sf_dir, "labels"))
+    return _without(rows, toxicity.score(spark, _by_row(rows), model), F.col("predicted") == 1, "doc_id")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return _without(docs, exact_dedup.exact_groups(docs), ~F.col("kept"))
+    """Of equal texts, exactly one row: one with the largest doc_id.
+
+    A null doc_id stays only if no equal text has another; of rows that repeat doc_id and text one stays; rows
+    that repeat a doc_id with other texts are apart; a null text equals an empty one.
+    """
+    rows = _rows(docs)
+    return _without(rows, exact_dedup.exact_groups(rows, row=ROW), ~F.col("kept"), ROW)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, the row with the smallest doc_id."""
-    return _without(docs, simhash.near_duplicates(spark, docs), F.col("component_id") != F.col("doc_id"))
+    """Of linked fingerprints, exactly one row: one with the smallest doc_id.
+
+    A null doc_id stays only if no linked row has another; of rows that repeat a doc_id and are linked one
+    stays, those not linked stay each; null and empty texts are linked with each other.
+    """
+    rows = _rows(docs)
+    return _without(rows, simhash.near_duplicates(spark, rows, row=ROW), ~F.col("kept"), ROW)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark items."""
-    found = decontamination.contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, queries.contaminated(found), F.col("contaminated"))
+    """Documents of which less than a twentieth lies in benchmark items.
+
+    Each row is judged by its own text: rows with a null or repeated doc_id stay or go one by one, and a null
+    or empty text has no hits.
+    """
+    rows = _rows(docs)
+    found = decontamination.contamination(spark, _by_row(rows), table(spark, sf_dir, "benchmark"))
+    return _without(rows, queries.contaminated(found), F.col("contaminated"), "doc_id")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
+    """doc_id, n_tokens and the digests of ids and decoded text, for each row.
+
+    Null and repeated doc_ids are kept as they are; a null text is encoded as an empty one.
+    """
     return queries.digested(bpe.encode_decode(docs, queries.tokenizer_path()))
 
 

@@ -450,3 +450,35 @@ def test_pipeline(spark, tmp_path):
         left = {i: left[i] for i in ids}
         at = after
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(left)
+
+
+def test_pipeline_odd_ids(spark, tmp_path):
+    """Null and repeated doc_ids in every stage: rows are dropped one by one, and each group keeps one."""
+    import corpus_pipeline
+
+    stages, schema = dict(corpus_pipeline.STAGES), "doc_id long, text string, lang string"
+    train, labels = toxic_rows(400)
+    bad, item = "idiot Scum loser! " * 8, " ".join(f"item{k}" for k in range(30))
+    prose = [" ".join(f"{c}{(k * k + 7 * k) % 91}" for k in range(80)) for c in "abcdefgh"]
+    a, b, c, d, e, f, g, _ = prose
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(name, rows):
+        df = spark.createDataFrame([(*r, "en") for r in rows], schema).repartition(3)
+        got = stages[name](spark, df, str(tmp_path))
+        assert name == "bpe" or got.columns == df.columns
+        return sorted(((r.doc_id, r.text) if name != "bpe" else r.doc_id for r in got.collect()), key=repr)
+
+    ordered = lambda rows: sorted(rows, key=repr)
+    odd = [(None, a), (None, b), (9000, c), (None, None), (None, "")]
+    assert [r for r in left("toxicity", [*train, *odd, (None, bad), (9000, bad)]) if r[0] is None or r[0] == 9000] == ordered(odd)
+    mixed = [(None, a), (None, a), (None, b), (3, b), (5, b), (7, c), (7, c), (7, d), (None, e), (None, None), (None, ""), (8, f)]
+    got = left("exact_dedup", mixed)
+    assert ordered((i, t or "") for i, t in got) == ordered([(None, a), (5, b), (7, c), (7, d), (None, e), (None, ""), (8, f)])
+    mixed = [(None, a), (None, a.upper()), (None, b), (3, b.upper()), (5, b + " "), (7, c), (7, c), (7, d), (None, e), (None, None), (None, ""), (8, f)]
+    got = ordered((i, (t or "").lower()) for i, t in left("simhash_near_dedup", mixed))
+    assert got == ordered([(None, a), (3, b), (7, c), (7, d), (None, e), (None, ""), (8, f)])
+    clean = [(None, a), (None, b), (4, c), (4, c), (None, None)]
+    assert left("benchmark_decontamination", [*clean, (None, f"x {item}"), (4, f"y {item}")]) == ordered(clean)
+    assert left("bpe", [*clean, (4, g)]) == ordered([None, None, 4, 4, None, 4])

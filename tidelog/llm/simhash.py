@@ -52,7 +52,8 @@ def _fingerprints(batches):
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             fps = fingerprints(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            own = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(part.column, own), pa.array(fps.view(np.int64))], [*own, "fp"])
 
 
 @lru_cache
@@ -161,7 +162,7 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, salts: int = 64) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, salts: int = 64, row: str | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of docs: components of fingerprints 4 bits or fewer apart.
 
     Words are lower-cased in A-Z and split at ASCII white space; shingles have four words. Only distinct
@@ -172,16 +173,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, salts: int = 64) -> Da
     other; fewer words than a shingle are one shingle; rows that repeat a doc_id are marked each; a null
     doc_id is kept and never is the smallest, unless all are null; no rows give no rows; other columns are
     ignored.
+
+    row: a long column, other in each row of docs. It is put out too, with kept: true for exactly one row of
+    a component, of those with the smallest doc_id the one with the smallest row.
     """
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    fps = written(texts.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    salted = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    distinct = salted.groupBy("fp", "salt").agg(F.min("doc_id").alias("first")).groupBy("fp").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
+    own = [row] if row else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, text_or_empty().alias("text"))
+    fps = written(texts.mapInArrow(_fingerprints, "doc_id long, " + "".join(f"{n} long, " for n in own) + "fp long"), "fingerprints")
+    salted = fps.withColumn("salt", F.pmod(F.xxhash64(row or "doc_id"), F.lit(salts)).cast("int"))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row) if row else F.col("doc_id")
+    distinct = salted.groupBy("fp", "salt").agg(F.min(who).alias("first")).groupBy("fp").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
     distinct = written(distinct, "distinct-fingerprints")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * 100 // TASK_ROWS))
     links = distinct.select("fp").mapInArrow(_keys, "key long, fp long").repartition(tasks, "key").mapInArrow(_links, "u long, v long")
     roots = components(links)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "salts", F.coalesce("root", "fp").alias("root"))
     whole = attach_stats(rooted, ["root"], F.col("fp"), component_id=("min", "first"))
-    return salted.join(whole.select("fp", "component_id", F.explode("salts").alias("salt")), ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = salted.join(whole.select("fp", "component_id", F.explode("salts").alias("salt")), ["fp", "salt"])
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    if row:
+        return out.select("doc_id", hexed, F.col("component_id.doc_id").alias("component_id"), row, (F.col(row) == F.col(f"component_id.{row}")).alias("kept"))
+    return out.select("doc_id", hexed, "component_id")
