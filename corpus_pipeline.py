@@ -70,14 +70,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark items.
+    """Documents without a word in a window of a benchmark item, however long they are otherwise.
 
     Each row is judged by its own text: rows with a null or repeated doc_id stay or go one by one, and a null
     or empty text has no hits.
     """
     rows = _rows(docs)
     found = decontamination.contamination(spark, _by_row(rows), table(spark, sf_dir, "benchmark"))
-    return _without(rows, queries.contaminated(found), F.col("contaminated"), "doc_id")
+    return _without(rows, found, F.col("n_hit") > 0, "doc_id")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
