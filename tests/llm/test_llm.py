@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import struct
 import zlib
@@ -365,56 +366,96 @@ def toxic_rows(n=900):
     return docs, labels
 
 
-def test_toxicity(spark, empty):
+def kneser_ney(rows, truth):
+    """By brute force, in plain dicts: text -> log-likelihood difference a word, and the share that each class leaves to the backoff."""
+    pairs, occurs = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            ws = decontamination.words_of(t)
+            for before, w in zip([None, *ws], ws, strict=False):
+                pairs[before, w][truth[i]] += 1
+                occurs[w][truth[i]] += 1
+    contexts = defaultdict(lambda: [0, 0, 0])
+    for (_, w), n in pairs.items():
+        for k in (0, 1):
+            contexts[w][k] += n[k] > 0
+        contexts[w][2] += 1
+    total = [sum(c[k] for c in contexts.values()) for k in (0, 1)]
+    taken = [sum(min(c[k], toxicity.DISCOUNT) for c in contexts.values()) for k in (0, 1)]
+    left = max(taken[k] / total[k] for k in (0, 1))
+    discount = [max(toxicity.PAIR_DISCOUNT, sum(n[k] for n in occurs.values()) / toxicity.MOST_EXPRESSIONS) for k in (0, 1)]
+
+    def word(w, k):
+        c = contexts.get(w, (0, 0, 0))
+        return (1 - left) * max(c[k] - toxicity.DISCOUNT, 0) / (total[k] - taken[k]) + left * (c[2] + 1) / (len(pairs) + len(contexts) + 1)
+
+    excess = {k: {p: n[k] - discount[k] for p, n in pairs.items() if p[0] is not None and n[k] > discount[k]} for k in (0, 1)}
+
+    def after(before, w, k):
+        mine = {p: x for p, x in excess[k].items() if p[0] == before}
+        own = max(occurs[before][k], 1) if before in occurs else 1
+        return mine.get((before, w), 0) / own + (1 - sum(mine.values()) / own) * word(w, k)
+
+    def gain(t):
+        ws = decontamination.words_of(t or "")
+        total = 0
+        for before, w in zip([None, *ws], ws, strict=False):
+            p0, p1 = after(before, w, 0), after(before, w, 1)
+            total += math.log((1 - toxicity.SHARE) + toxicity.SHARE * p1 / p0)
+        return total / (len(ws) + toxicity.LENGTH_PRIOR)
+
+    norm = [sum(word(w, k) for w in contexts) + word(None, k) for k in (0, 1)]
+    after_norm = [sum(after(b, w, k) for w in contexts) + after(b, None, k) for k in (0, 1) for b in {p[0] for p in excess[k]}]
+    assert norm == pytest.approx([1, 1]) and after_norm and after_norm == pytest.approx([1] * len(after_norm))
+    return gain
+
+
+@pytest.mark.parametrize("block", [1_500_000, 60])
+def test_toxicity(spark, empty, block):
     rows, labels = toxic_rows()
+    truth = dict(labels)
+    # an expression of ordinary words, often in toxic texts and never elsewhere
+    rows = [(i, t + " you there" * 2 if truth[i] else "there you " + t) for i, t in rows]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, t) for i, t in labels] + [(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(spark, docs, marks)
-    extra = docs.union(spark.createDataFrame([(None, "idiot scum loser idiot scum"), (5000, None), (5001, "")], "doc_id long, text string"))
-    got = {r.doc_id: r for r in toxicity.score(spark, extra, model).collect()}
-    truth = dict(labels)
+    odd = [(None, "idiot scum loser idiot scum"), (5000, None), (5001, ""), (5002, "nothing known of these " * 30), (5003, "you there " * 40), (5004, "there " * 40 + "you " * 40), (0, rows[1][1]), (0, rows[1][1]), (5005, "idiot " * 300_000)]
+    extra = docs.union(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("*", "1 as gain", "'x' as digest", "2 as word", "3 as salt")
+    found = toxicity.score(spark, extra, model, block_words=block).collect()
+    got = {(r.doc_id, r.score) for r in found}
+    gain, (at, slope) = kneser_ney(rows, truth), model.scale
+    want = {(i, 1 / (1 + math.exp(-(at + slope * math.asinh(gain(t) / toxicity.BEND))))) for i, t in [*rows, *odd]}
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert len(found) == len(rows) + len(odd) and len(got) == len(want)
+    for (i, x), (j, y) in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert i == j and x == pytest.approx(y, rel=1e-9)
+    by_id = {r.doc_id: r for r in found}
     out = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
-    assert {i for i in truth if got[i].held_out} == set(out) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
-    assert sum(got[i].predicted == truth[i] for i in out) >= 0.97 * len(out)
-    assert got[5000].score == got[5001].score and got[5000].predicted == 0 and got[None].held_out
-    counts = defaultdict(lambda: [0, 0])
-    for i, t in rows:
-        if i not in out:
-            for w in decontamination.words_of(t):
-                counts[w][truth[i]] += 1
-    assert model.word.sum(axis=1).tolist() == [sum(c[k] for c in counts.values()) for k in (0, 1)]
-    # held-out labels don't matter
-    other = spark.createDataFrame([(i, 1, 1 - t if i in out else t) for i, t in labels], "doc_id long, quality int, toxic int")
-    again = toxicity.learn(spark, docs, other)
-    assert again.scale == model.scale and (again.word == model.word).all()
-    assert toxicity.score(spark, empty, toxicity.learn(spark, empty, marks.limit(0))).count() == 0
-
-
-def test_toxicity_words_apart(spark):
-    """A toxic word keeps its own counts beside an ordinary word with the same low 20 hash bits, and blocks lose no word."""
-    import xxhash
-
-    seen = {}
-    for i in range(20000):
-        w, low = f"w{i}", xxhash.xxh32_intdigest(f"w{i}".encode()) & 0xFFFFF
-        if low in seen:
-            pair = seen[low], w
-            break
-        seen[low] = w
-    rare, common = pair
-    rows, labels = toxic_rows(600)
-    rows = [(i, t.replace("idiot", rare).replace("Scum", rare).replace("loser!", rare) if i % 6 == 0 else f"{t} {' '.join([common] * 30)}") for i, t in rows]
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.learn(spark, docs, marks)
-    got = {r.doc_id: r for r in toxicity.score(spark, docs, model).collect()}
-    out = [(i, t) for i, t in labels if got[i].held_out]
-    assert sum(got[i].predicted == t for i, t in out) >= 0.97 * len(out) and sum(got[i].predicted for i, t in out if t) >= 0.9 * sum(t for _, t in out)
-    assert model.size >= 1
-    # several blocks: the model with made-up telling words besides
-    model.telling = model.telling.unionByName(spark.createDataFrame([(k, 1.0) for k in range(40)], "word long, weight double"))
-    model.size += 40
-    more = {r.doc_id: r for r in toxicity.score(spark, docs.unionByName(docs), model, block_words=5).collect()}
-    assert more.keys() == got.keys() and all(more[i].score == pytest.approx(got[i].score, rel=1e-9) for i in got)
-    assert toxicity.score(spark, docs.unionByName(docs), model, block_words=5).count() == 2 * len(rows)
+    assert {i for i in truth if by_id[i].held_out} == set(out) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in found)
+    assert sum(by_id[i].predicted == truth[i] for i in out) >= 0.97 * len(out)
+    assert by_id[5000].score == by_id[5001].score and by_id[5000].predicted == 0 and by_id[None].held_out
+    assert by_id[5002].predicted == 0  # words that neither class knows
+    assert by_id[5003].score > by_id[5004].score  # the same words in another order
+    if block == 60:
+        # held-out labels don't matter
+        other = spark.createDataFrame([(i, 1, 1 - t if i in out else t) for i, t in labels], "doc_id long, quality int, toxic int")
+        again = toxicity.learn(spark, docs, other)
+        assert again.scale == model.scale and again.totals == model.totals
+        assert toxicity.score(spark, empty, toxicity.learn(spark, empty, marks.limit(0))).count() == 0
+        one_class = toxicity.learn(spark, docs, marks.where("toxic = 0"))
+        assert toxicity.score(spark, docs, one_class).where("predicted = 1").count() == 0
+
+
+def test_toxicity_workers_need_no_package(spark, tmp_path):
+    """What goes to the workers can be read where this package isn't."""
+    import pickle
+    import subprocess
+    import sys
+
+    rows, labels = toxic_rows(120)
+    model = toxicity.learn(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    with open(tmp_path / "block", "wb") as f:
+        pickle.dump(next(model.blocks(1000)), f)
+    subprocess.run([sys.executable, "-c", "import pickle; pickle.load(open('block', 'rb'))"], cwd=tmp_path, check=True, env={"PATH": ""})
 
 
 def test_pipeline(spark, tmp_path):
