@@ -106,7 +106,7 @@ def test_token_counts_other_files(spark, docs, rows, name):
 
 
 def test_bpe_codec(library):
-    codec, rnd = bpe.Codec(queries.tokenizer_path()), random.Random(2)
+    codec, rnd = bpe.Codec(bpe.compiled(queries.tokenizer_path())), random.Random(2)
     letters = "abcdeEIOUnst'!&1 2éßΣİ中́\x1c\x85​　ªǅ😀aaaa\n"
     for k in range(1500):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30)))
@@ -115,6 +115,52 @@ def test_bpe_codec(library):
         assert codec.whole(text) == (struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False)), repr(text)
 
 
+def test_bpe_every_letter(library):
+    """Each code point between two letters, as the file's library has it."""
+    codec = bpe.Codec(bpe.compiled(queries.tokenizer_path()))
+    for low in range(0, 0x110000, 1 << 14):
+        texts = [f"a{chr(c)}b" for c in range(low, low + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            got = codec.whole(text)
+            assert got[0] == struct.pack(f"<{len(e.ids)}I", *e.ids), repr(text)
+            assert got[1] == " ".join(e.tokens), repr(text)
+
+
+def test_bpe_long_words(library):
+    codec = bpe.Codec(bpe.compiled(queries.tokenizer_path()))
+    for word in ("a" * 100_000, "the" * 20_000, "\u4e2d" * 10_000, "ab" * 2_000_000):
+        ids = library.encode(word, add_special_tokens=False).ids
+        assert codec.whole(word)[0] == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_merge_gadgets():
+    """The automaton of random merges against merging one by one, oldest first and from the left."""
+    rnd = random.Random(11)
+    letters = bpe.byte_letters()
+    for _ in range(60):
+        few = letters[97:100]
+        vocab = {x: i for i, x in enumerate([*letters, *(x + "</w>" for x in letters)])}
+        known, merges = [*few, *(x + "</w>" for x in few)], []
+        for _ in range(rnd.randint(1, 40)):
+            left, right = rnd.choice([x for x in known if not x.endswith("</w>")]), rnd.choice(known)
+            if left + right not in vocab:
+                vocab[left + right] = len(vocab)
+                known.append(left + right)
+                merges.append([left, right])
+        automaton = bpe.compile_merges({"vocab": vocab, "merges": merges, "end_of_word_suffix": "</w>"})
+        for _ in range(120):
+            word = "".join(rnd.choice(few) for _ in range(rnd.randint(1, 14)))
+            parts = [*word[:-1], word[-1] + "</w>"]
+            for left, right in merges:
+                out, k = [], 0
+                while k < len(parts):
+                    two = parts[k : k + 2] == [left, right]
+                    out.append(left + right if two else parts[k])
+                    k += 1 + two
+                parts = out
+            assert automaton.encode_word(word.encode()) == [vocab[x] for x in parts], (word, merges)
+
+
 def test_bpe_query(spark, docs, rows, empty, library):
     got = {r.doc_id: r for r in queries.digested(bpe.encode_decode(docs, queries.tokenizer_path())).collect()}
     for i, t, *_ in rows:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import struct
-import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +22,8 @@ from .common import Memo, bounded_batches, remember, slices, text_or_empty
 MEMO_WORDS = 120_000
 #: Bytes of text whose tokens leave the worker at once.
 PART_BYTES = 1 << 20
+#: Texts with letters beyond these are normalised and split by the file's library; up to them Python gives the same.
+BEYOND = r"[^\x00-\u024F]"
 OUT_SCHEMA = "doc_id long, ids binary, decoded string"
 
 
@@ -28,164 +34,206 @@ def byte_letters() -> list[str]:
     return [letters.get(b) or chr(next(more)) for b in range(256)]
 
 
-class Automaton:
-    """A deterministic automaton over symbols (bytes, or bytes that end a word), built merge by merge.
+class Automaton(NamedTuple):
+    """A deterministic automaton over tokens as flat tables: a path from the start spells a word's one encoding.
 
-    State 0 is the start; `step[state][symbol]` is the next state. A merge's gadget leads from the state
-    of its left token over the symbols of its right token; its last arc emits the merged token. Two arcs
-    may follow one another only if no merge whose gadget is older than both (or as old, and further left)
-    joins their inner ends; `joins` holds these verdicts, each computed once.
+    After a token the automaton is in the state `state[token]`; the token's arc leaves state s if bit
+    `arc[token]` of row s in `rows` is set. Spellings are read byte by byte (`symbol + 256` ends a word) through
+    `check` and `follow`: node p goes by symbol x to follow[p + x] if check[p + x] == p; `emits[p]` is the token
+    spelt at p, or -1. A node is the offset of its own row in these two, so rows overlap without clashes.
     """
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        suffix = model.get("end_of_word_suffix") or ""
-        vocab, letters = model["vocab"], byte_letters()
-        if model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
-            raise ValueError("this kind of BPE model is not supported")
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.labels = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.step: list[dict[int, int]] = [{}]
-        self.emit: list[int] = [-1]  # the token that a state's last arc emits, or -1
-        self.parts: dict[int, tuple[int, int]] = {}  # token -> left and right token
-        self.age: dict[int, int] = {}  # token -> rank of its merge, -1 for a symbol
-        self.rank: dict[tuple[int, int], int] = {}
-        self.joins: dict[tuple[int, int], bool] = {}
-        state, spelt = {}, {}
-        for b, letter in enumerate(letters):
-            for symbol, token in ((b, vocab.get(letter)), (b + 256, vocab.get(letter + suffix))):
-                if token is not None:
-                    state[token], spelt[token], self.age[token] = self._arc(0, symbol), (symbol,), -1
-                    self.emit[state[token]] = token
-        for rank, (left, right) in enumerate(model["merges"]):
-            u, v, token = vocab[left], vocab[right], vocab[left + right]
-            if token in self.age:
-                raise ValueError(f"two merges give {left + right!r}")
-            at = state[u]
-            for symbol in spelt[v]:
-                at = self._arc(at, symbol)
-            self.emit[at], state[token], spelt[token] = token, at, spelt[u] + spelt[v]
-            self.parts[token], self.age[token], self.rank[u, v] = (u, v), rank, rank
-
-    def _arc(self, state: int, symbol: int) -> int:
-        to = self.step[state].get(symbol)
-        if to is None:
-            to = self.step[state][symbol] = len(self.step)
-            self.step.append({})
-            self.emit.append(-1)
-        return to
-
-    def follows(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a: no merge would have joined their ends first."""
-        known = self.joins.get((a, b))
-        if known is None:
-            known, end, until = True, a, 1 << 60
-            while known:
-                start, before = b, 1 << 60
-                while True:
-                    r = self.rank.get((end, start))
-                    if r is not None and max(self.age[end], self.age[start]) < r < until and r <= before and (r < before or start != b):
-                        known = False
-                        break
-                    if start not in self.parts:
-                        break
-                    start, before = self.parts[start][0], self.age[start]
-                if end not in self.parts:
-                    break
-                end, until = self.parts[end][1], self.age[end]
-            self.joins[a, b] = known
-        return known
-
-    def _arcs(self, symbols: list[int], i: int) -> list[tuple[int, int]]:
-        """(end, token) of each token that starts at i, shortest first."""
-        out, step, emit, at = [], self.step, self.emit, 0
-        for j in range(i, len(symbols)):
-            at = step[at].get(symbols[j])
-            if at is None:
-                break
-            if emit[at] >= 0:
-                out.append((j + 1, emit[at]))
-        return out
+    state: array
+    arc: array
+    rows: bytes
+    width: int
+    check: array
+    follow: array
+    emits: dict[int, int]
+    root: int
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word: the one path on which each arc may follow the one before.
+        """The tokens of one pre-split word, each byte's arcs taken once and none taken back.
 
-        Longest arcs are tried first; a place that no path leaves is entered once at most.
+        Every prefix of the word has one encoding, so one state; the arc of a token from a prefix's state leads to
+        the longer prefix's if that state has it. The word's own path is read from its end.
         """
         n = len(word)
         if not n:
             return []
-        symbols = [*word[:-1], word[-1] + 256]
-        out, back, dead, at, joins = [], [], set(), 0, self.joins
-        arcs = self._arcs(symbols, 0)
-        while at < n:
-            while arcs:
-                end, token = arcs.pop()
-                if end in dead:
-                    continue
-                if out:
-                    ok = joins.get((out[-1], token))
-                    if not (self.follows(out[-1], token) if ok is None else ok):
-                        continue
-                back.append((at, arcs))
-                out.append(token)
-                at, arcs = end, self._arcs(symbols, end)
-                break
-            else:
-                dead.add(at)
-                if not back:
-                    raise ValueError(f"no tokens for {word!r}")
-                out.pop()
-                at, arcs = back.pop()
-        return out
+        state, arc, rows, width, check, follow, emits, root = self
+        symbols = array("l", iter(word))
+        symbols[-1] += 256
+        at, last, came = array("l", symbols), array("l", symbols), array("l", symbols)  # by where a prefix's last byte is
+        at.insert(0, 0)
+        for i in range(n):
+            row, p = at[i] * width, root
+            for j in range(i, n):
+                x = p + symbols[j]
+                if check[x] != p:
+                    break
+                p = follow[x]
+                token = emits.get(p)
+                if token is not None:
+                    k = arc[token]
+                    if rows[row + (k >> 3)] >> (k & 7) & 1:
+                        last[j], came[j], at[j + 1] = token, i, state[token]
+        out = []
+        while n:
+            out.append(last[n - 1])
+            n = came[n - 1]
+        return out[::-1]
+
+
+def compile_merges(model: dict) -> Automaton:
+    """The automaton, by one gadget for each merge, oldest first.
+
+    At first every symbol leaves the start, and the state after every symbol that doesn't end a word. The gadget of
+    the merge of u and v to w lets w leave every state that u leaves, makes the state after w that after v, and
+    takes v's arc away from the state after u; without that arc w never comes up. If u is v, w doesn't follow u
+    either: of three, the first two merge. States and arcs that no further symbol can tell apart are then one.
+    """
+    suffix, vocab, letters = model.get("end_of_word_suffix") or "", model["vocab"], byte_letters()
+    if not suffix or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
+        raise ValueError("this kind of BPE model is not supported")
+    spelt = {vocab[x + end]: (b + shift,) for end, shift in (("", 0), (suffix, 256)) for b, x in enumerate(letters)}
+    born = dict.fromkeys(spelt, -1)  # token -> its merge's place
+    inner = {t: i + 1 for i, t in enumerate(t for t in spelt if spelt[t][-1] < 256)}  # token that doesn't end a word -> its state
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    states = 1 + len(inner) + sum(not right.endswith(suffix) for _, right in merges)
+    # a row for each token: from which states its arc leaves, as bits
+    leaves, n = np.zeros((len(spelt) + len(merges), (states + 7) // 8), np.uint8), len(spelt)
+    leaves[:n] = np.packbits(np.arange(states) <= len(inner), bitorder="little")
+    place = {t: i for i, t in enumerate(spelt)}
+    for k, (left, right) in enumerate(merges):
+        u, v, w = vocab[left], vocab[right], vocab[left + right]
+        if w in born or u not in inner or v not in born or max(born[u], born[v]) >= k:
+            raise ValueError(f"merge {k} isn't in the order of its parts")
+        born[w], spelt[w], place[w] = k, spelt[u] + spelt[v], n
+        byte, bit = divmod(inner[u], 8)
+        if leaves[place[v], byte] >> bit & 1:
+            leaves[n] = leaves[place[u]]
+        n += 1
+        if spelt[w][-1] < 256:
+            inner[w] = len(inner) + 1
+            (to, shift), (of, at) = divmod(inner[w], 8), divmod(inner[v], 8)
+            leaves[:n, to] |= (leaves[:n, of] >> at & 1) << shift
+        for t in {place[v], n - 1} if u == v else {place[v]}:
+            leaves[t, byte] &= 255 ^ (1 << bit)
+    arcs: dict[bytes, int] = {}
+    arc_of = {t: arcs.setdefault(leaves[place[t]].tobytes(), len(arcs)) for t in place}
+    # the same bits by state
+    by_arc = np.unpackbits(np.frombuffer(b"".join(arcs), np.uint8).reshape(len(arcs), -1), axis=1, count=states, bitorder="little")
+    by_state = np.packbits(by_arc.T, axis=1, bitorder="little")
+    rows = {by_state[0].tobytes(): 0}
+    state_of = {t: rows.setdefault(by_state[i].tobytes(), len(rows)) for t, i in inner.items()}
+    most = max(vocab.values()) + 1
+    flat = lambda values: array("l", [values.get(t, 0) for t in range(most)])
+    return Automaton(flat(state_of), flat(arc_of), b"".join(rows), by_state.shape[1], *_spellings(spelt))
+
+
+def _spellings(spelt: dict[int, tuple[int, ...]]) -> tuple[array, array, dict[int, int], int]:
+    """check, follow, emits and root: the tree of all spellings, each node at the first offset where its arcs are free."""
+    tree, token = [{}], {}
+    for t, symbols in spelt.items():
+        at = 0
+        for x in symbols:
+            if x not in tree[at]:
+                tree[at][x] = len(tree)
+                tree.append({})
+            at = tree[at][x]
+        token[at] = t
+    taken, offset, used, free = bytearray(600 * len(tree)), [0] * len(tree), set(), 0
+    for at in sorted(range(len(tree)), key=lambda k: -len(tree[k])):
+        symbols = sorted(tree[at])
+        first = symbols[0] if symbols else 0
+        p = max(0, free - first)
+        while p in used or any(taken[p + x] for x in symbols):
+            p += 1
+        used.add(p)
+        offset[at] = p
+        for x in symbols:
+            taken[p + x] = 1
+        free = max(free, p + first - 256)  # few places are left before that
+    size = max(offset) + 512
+    check, follow = array("l", [-1]) * size, array("l", [0]) * size
+    for at, arcs in enumerate(tree):
+        for x, to in arcs.items():
+            check[offset[at] + x], follow[offset[at] + x] = offset[at], offset[to]
+    return check, follow, {offset[at]: t for at, t in token.items()}, offset[0]
+
 
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs, with a space between two: the file names no decoder of its own."""
-        return " ".join(map(self.labels.__getitem__, ids))
+class Compiled(NamedTuple):
+    """What workers need of a tokenizer file."""
+
+    automaton: Automaton
+    labels: dict[int, str]
+    special: dict[str, int]
+    split: str  # the expression that finds words
+    library: str  # the file without its vocabulary: normaliser and split for letters beyond PLAIN
+
+
+@lru_cache(maxsize=1)
+def compiled(path: str) -> Compiled:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, to_bytes = (spec["pre_tokenizer"].get("pretokenizers") or [{}, {}])[:2]
+    named = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if named != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or not split.get("invert") or to_bytes.get("type") != "ByteLevel" or spec.get("decoder"):
+        raise ValueError("only files that lower-case, split by words and name no decoder are supported")
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    labels = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in special.items()}
+    automaton = compile_merges(spec["model"])
+    bare = spec | {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+    return Compiled(automaton, labels, special, split["pattern"]["Regex"], json.dumps(bare))
 
 
 class Codec:
     """Whole texts: special strings first, then the file's normaliser and split, then the automaton."""
 
-    def __init__(self, path: str):
+    def __init__(self, made: Compiled):
         import regex
+        from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        split, to_bytes = (spec["pre_tokenizer"].get("pretokenizers") or [{}, {}])[:2]
-        named = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if named != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or not split.get("invert") or to_bytes.get("type") != "ByteLevel" or spec.get("decoder"):
-            raise ValueError("only files that lower-case, split by words and name no decoder are supported")
-        self.automaton = Automaton(path)
-        self.words = regex.compile(split["pattern"]["Regex"])
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.automaton.special, key=len, reverse=True))) + ")")
+        self.automaton, self.labels, self.special = made.automaton, made.labels, made.special
+        self.words = regex.compile(made.split)
+        self.beyond = regex.compile(BEYOND)
+        self.library = Tokenizer.from_str(made.library)
+        self.bytes_of = {ord(x): b for b, x in enumerate(byte_letters())}
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.by_word = Memo(lambda words: [self._out(self.automaton.encode_word(w.encode())) for w in words], MEMO_WORDS)
 
     def _out(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}I", *ids), self.automaton.decode(ids)
+        """ids as bytes; the labels of the arcs, with a space between two: the file names no decoder of its own."""
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.labels.__getitem__, ids))
 
-    def _parts(self, text: str) -> list[tuple[bytes, str]]:
-        if not text.isascii():  # letter by letter, so that a sigma's place in its word doesn't count
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.words.findall(text.lower())
-        known = self.by_word.holding(set(words))
-        return [known[w] for w in words]
+    def _split(self, text: str) -> list[str]:
+        """The text's words after the file's normaliser; by Python where letters are known to fare alike there."""
+        if text.isascii() or not self.beyond.search(text):
+            return self.words.findall(text.lower())
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes_of.__getitem__, map(ord, x))).decode() for x, _ in found]
 
     def whole(self, text: str) -> tuple[bytes, str]:
         """ids as little-endian unsigned 32-bit integers, and the text they decode to."""
-        special = self.automaton.special
+        special = self.special
         got: list[tuple[bytes, str]] = []
-        for piece in self.specials.split(text):
-            got += [self._out([special[piece]])] if piece in special else self._parts(piece)
+        for piece in self.specials.split(text) if special else [text]:
+            if piece in special:
+                got.append(self._out([special[piece]]))
+            else:
+                words = self._split(piece)
+                known = self.by_word.holding(set(words))
+                got += [known[w] for w in words]
         return b"".join([x for x, _ in got]), " ".join([x for _, x in got])
 
 
-def _run(path: str):
+def _run(version: str, made):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = remember(("bpe", path))
-        codec = kept.get("codec") or kept.setdefault("codec", Codec(path))
+        kept = remember(("bpe", version))
+        if "codec" not in kept:
+            kept["codec"] = Codec(Compiled(Automaton(*made.value[0]), *made.value[1:]))
+        codec = kept["codec"]
         gc.disable()  # nothing here is cyclic, and there is much to look through
         try:
             for batch in batches:
@@ -204,5 +252,9 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     A null or empty text, and one of white space only, has no ids and decodes to an empty string. A null
     doc_id is kept, repeated rows are encoded each, no rows give no rows, other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_run(tokenizer), OUT_SCHEMA)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    automaton, *rest = compiled(tokenizer)
+    made = spark.sparkContext.broadcast((tuple(automaton), *rest))  # as large as the vocabulary makes it, 30 MB for 49k tokens
+    run = _run(hashlib.sha256(rest[-1].encode()).hexdigest() + tokenizer, made)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, OUT_SCHEMA)
