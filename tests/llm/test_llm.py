@@ -294,8 +294,11 @@ def hits(texts, items, window=13):
     wins = [(i, w) for i, t in items if i is not None for w in decontamination.windows_of(decontamination.words_of(t or ""), window)]
     for d, t in texts:
         ws, hit, found = decontamination.words_of(t or ""), set(), set()
+        starts = defaultdict(list)
+        for k, x in enumerate(ws):
+            starts[x].append(k)
         for i, w in wins:
-            for k in range(len(ws) - len(w) + 1):
+            for k in starts[w[0]]:
                 if tuple(ws[k : k + len(w)]) == w:
                     hit.update(range(k, k + len(w)))
                     found.add(i)
@@ -303,14 +306,18 @@ def hits(texts, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_contamination(spark, docs, rows, empty, block):
+@pytest.mark.parametrize("bits,salts", [(26, 16), (7, 1)])
+def test_contamination(spark, docs, rows, empty, bits, salts):
     texts = [(i, t) for i, t, *_ in rows]
     long_ones = [t for _, t in texts if t and len(t.split()) > 60][:6]
-    items = [(k, " ".join(t.split()[k : k + 20])) for k, t in enumerate(long_ones)] + [(20, "The same same"), (21, None), (22, ""), (23, "a a a"), (24, long_ones[0].upper()), (None, "the"), (25, "a")]
+    items = [(k, " ".join(t.split()[k : k + 20])) for k, t in enumerate(long_ones)] + [(30 + k, " ".join(long_ones[k].split()[9 : 9 + n])) for k, n in enumerate((2, 4, 5, 6, 12))] + [(20, "The same same"), (21, None), (22, ""), (23, "a a a"), (24, long_ones[0].upper()), (None, "the"), (25, "a")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in queries.contaminated(decontamination.contamination(spark, docs, table, block)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.contaminated(decontamination.contamination(spark, docs, table, bits, salts)).collect()}
     want = hits(texts, items)
+    odd = [(None, texts[5][1]), (3, long_ones[0]), (3, "a"), (3, None), (None, "A a, A! " * 50), (77, " ".join(t or "" for _, t in texts) + " b" * 1_000_000)]
+    frame = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in odd], "doc_id long, text string, row string, words string, size int")
+    found = sorted(tuple(r)[1:] for r in queries.contaminated(decontamination.contamination(spark, frame, table, bits, salts)).collect())
+    assert found == sorted(x for k, (_, t) in enumerate(odd) for x in hits([(k, t)], items).values())
     assert got == want and any(x[4] for x in want.values()) and not all(x[4] for x in want.values())
     assert decontamination.contamination(spark, docs, table.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.contamination(spark, empty, table).count() == 0

@@ -147,6 +147,22 @@ def maybe_in(df: DataFrame, h: Column, words: DataFrame, bits: int, name: str) -
     return df.withColumn(name, hit("_m1", "_p") & hit("_m2", "_q")).drop("_p", "_q", "_w1", "_w2", "_m1", "_m2")
 
 
+def bitmap_of(words: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter as an array of 2**bits bits, for Python workers."""
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    got = words.toArrow()  # at most 2**bits / 64 rows
+    bitmap[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+    return bitmap
+
+
+def in_bitmap(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """maybe_in for an array of unsigned hashes."""
+    half = np.uint64((1 << (bits - 1)) - 1)
+    p, q = h & half, ((h >> np.uint64(64 - bits + 1)) & half) + half + np.uint64(1)
+    bit = lambda x: (bitmap[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+    return (bit(p) & bit(q)).astype(bool)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the rows (u, v): rows (node, root), root the smallest node reachable.
 

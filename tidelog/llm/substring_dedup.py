@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, attach_stats, bounded_batches, filter_words, maybe_in, remember, slices, text_or_empty, written
+from .common import Memo, attach_stats, bitmap_of, bounded_batches, filter_words, in_bitmap, maybe_in, remember, slices, text_or_empty, written
 
 #: Words of a window, and of the grams among which a window's minimiser is chosen.
 WINDOW, GRAM = 50, 16
@@ -94,18 +94,11 @@ def _minimisers(window: int, gram: int):
     return run
 
 
-def _in_filter(low: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    half = np.uint64((1 << (bits - 1)) - 1)
-    p, q = low & half, ((low >> np.uint64(64 - bits + 1)) & half) + half + np.uint64(1)
-    bit = lambda x: (bitmap[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
-    return (bit(p) & bit(q)).astype(bool)
-
-
 def _super_kmers(window: int, gram: int, bits: int, filter_, hot_):
     def run(batches):
         bitmap, hot = filter_.value, hot_.value
         for part, words, (doc, start, at, count, low) in _laid(batches, window, gram):
-            keep = np.flatnonzero(_in_filter(low, bitmap, bits)) if len(low) else low
+            keep = np.flatnonzero(in_bitmap(low, bitmap, bits)) if len(low) else low
             if not len(keep):
                 continue
             ids = part.column("doc_id").to_pylist()
@@ -201,9 +194,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     total = seen.agg(F.sum("n")).first()[0] or 0
     most = max(hot_rows, total >> 16)  # so at most 65,536 minimisers are hot
     hot = {r.h: -(-r.n // most) * 4 for r in seen.where(F.col("n") > most).collect()}
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    got = filter_words(seen, bits).toArrow()  # at most 2**bits / 64 rows
-    bitmap[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+    bitmap = bitmap_of(filter_words(seen, bits), bits)
     filter_, hot_ = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
     kmers = texts.mapInArrow(_super_kmers(window, gram, bits, filter_, hot_), "m long, salt int, hot boolean, doc_id long, start long, packed binary")
