@@ -7,7 +7,7 @@ import hashlib
 import json
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -37,19 +37,19 @@ def byte_letters() -> list[str]:
 class Automaton(NamedTuple):
     """A deterministic automaton over tokens as flat tables: a path from the start spells a word's one encoding.
 
-    After a token the automaton is in the state `state[token]`; the token's arc leaves state s if bit
-    `arc[token]` of row s in `rows` is set. Spellings are read byte by byte (`symbol + 256` ends a word) through
-    `check` and `follow`: node p goes by symbol x to follow[p + x] if check[p + x] == p; `emits[p]` is the token
-    spelt at p, or -1. A node is the offset of its own row in these two, so rows overlap without clashes.
+    After a token the automaton is in the state `state[token]`; arcs of class k leave a state if bit k of the
+    state's row in `rows` is set. Spellings are read byte by byte (`symbol + 256` ends a word): node p goes by
+    symbol x to follow[p + x] if check[p + x] == p, and if emits[p + x] is a token, that is the one spelt on the
+    way, with an arc of class arc[p + x]. A node is the offset of its own row, so rows overlap without clashes.
     """
 
-    state: array
-    arc: array
+    state: Sequence[int]
     rows: bytes
     width: int
-    check: array
-    follow: array
-    emits: dict[int, int]
+    check: Sequence[int]
+    follow: Sequence[int]
+    emits: Sequence[int]
+    arc: Sequence[int]
     root: int
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -61,23 +61,22 @@ class Automaton(NamedTuple):
         n = len(word)
         if not n:
             return []
-        state, arc, rows, width, check, follow, emits, root = self
+        state, rows, width, check, follow, emits, arc, root = self
         symbols = array("l", iter(word))
         symbols[-1] += 256
         at, last, came = array("l", symbols), array("l", symbols), array("l", symbols)  # by where a prefix's last byte is
-        at.insert(0, 0)
+        row = 0
         for i in range(n):
-            row, p = at[i] * width, root
+            p = root
             for j in range(i, n):
                 x = p + symbols[j]
                 if check[x] != p:
                     break
+                k = arc[x]
+                if k >= 0 and rows[row + (k >> 3)] >> (k & 7) & 1:
+                    last[j], came[j], at[j] = emits[x], i, state[emits[x]] * width
                 p = follow[x]
-                token = emits.get(p)
-                if token is not None:
-                    k = arc[token]
-                    if rows[row + (k >> 3)] >> (k & 7) & 1:
-                        last[j], came[j], at[j + 1] = token, i, state[token]
+            row = at[i]
         out = []
         while n:
             out.append(last[n - 1])
@@ -128,12 +127,12 @@ def compile_merges(model: dict) -> Automaton:
     rows = {by_state[0].tobytes(): 0}
     state_of = {t: rows.setdefault(by_state[i].tobytes(), len(rows)) for t, i in inner.items()}
     most = max(vocab.values()) + 1
-    flat = lambda values: array("l", [values.get(t, 0) for t in range(most)])
-    return Automaton(flat(state_of), flat(arc_of), b"".join(rows), by_state.shape[1], *_spellings(spelt))
+    state = array("l", [state_of.get(t, 0) for t in range(most)])
+    return Automaton(state, b"".join(rows), by_state.shape[1], *_spellings(spelt, arc_of))
 
 
-def _spellings(spelt: dict[int, tuple[int, ...]]) -> tuple[array, array, dict[int, int], int]:
-    """check, follow, emits and root: the tree of all spellings, each node at the first offset where its arcs are free."""
+def _spellings(spelt: dict[int, tuple[int, ...]], arc_of: dict[int, int]) -> tuple[array, array, array, array, int]:
+    """check, follow, emits, arc and root: the tree of all spellings, each node at the first offset where its arcs are free."""
     tree, token = [{}], {}
     for t, symbols in spelt.items():
         at = 0
@@ -155,12 +154,14 @@ def _spellings(spelt: dict[int, tuple[int, ...]]) -> tuple[array, array, dict[in
         for x in symbols:
             taken[p + x] = 1
         free = max(free, p + first - 256)  # few places are left before that
-    size = max(offset) + 512
-    check, follow = array("l", [-1]) * size, array("l", [0]) * size
+    check, follow, emits, arc = (array("l", [-1]) * (max(offset) + 512) for _ in range(4))
     for at, arcs in enumerate(tree):
         for x, to in arcs.items():
-            check[offset[at] + x], follow[offset[at] + x] = offset[at], offset[to]
-    return check, follow, {offset[at]: t for at, t in token.items()}, offset[0]
+            k = offset[at] + x
+            check[k], follow[k] = offset[at], offset[to]
+            if to in token:
+                emits[k], arc[k] = token[to], arc_of[token[to]]
+    return check, follow, emits, arc, offset[0]
 
 
 class Compiled(NamedTuple):
@@ -195,7 +196,9 @@ class Codec:
         import regex
         from tokenizers import Tokenizer
 
-        self.automaton, self.labels, self.special = made.automaton, made.labels, made.special
+        # lists are read faster than arrays
+        self.automaton = Automaton(*(x.tolist() if isinstance(x, array) else x for x in made.automaton))
+        self.labels, self.special = made.labels, made.special
         self.words = regex.compile(made.split)
         self.beyond = regex.compile(BEYOND)
         self.library = Tokenizer.from_str(made.library)
