@@ -289,6 +289,84 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_odd_values():
+    fits, parse = chat_format.fits, chat_format.parse
+    deep = lambda n: json.loads("[" * n + "]" * n)
+    assert fits(None, {"type": ["string", "null"]}) and not fits(1, {"type": ["string", "null"]}) and not fits(1, {"type": "nonsense"})
+    assert fits(1.0, {"type": "integer"}) and not fits(1.5, {"type": "integer"}) and not fits(True, {"type": "number"}) and not fits(True, {"enum": [1]})
+    assert fits(1.0, {"enum": [1]}) and fits(deep(900), {"items": True}) and not fits({"a": 1}, {"additionalProperties": {"type": "string"}}) and not fits(1, False)
+    call = lambda i, a, n="t": json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a}]})
+    for text in (call("x", float("nan")), call("x", {"a": float("inf")}), '{"tool_calls":[{"id":"x","arguments":1e999}]}', "{" * 100_000, '{"a":' * 30_000 + "1" + "}" * 30_000, '{"a":' + "9" * 5000 + "}"):
+        assert parse("assistant", text, {})[0][0] == "message"
+    for depth in (2_000, 20_000):
+        kind, *_, out = parse("assistant", '{"tool_calls":[{"id":"x","name":"t","arguments":{"v":' + "[" * depth + '{"$result":"y"}' + "]" * depth + "}}]}", {"t": {}})[0]
+        assert kind in ("call", "message") and json.loads(out) if depth == 2_000 else kind == "message"
+    kind, call_id, ok, needs, out = parse("assistant", call("\ud800", {"v": {"$result": "\udfff"}}, "\ud900"), {"\ud900": {}})[0]
+    assert (kind, call_id, ok, needs) == ("call", '"\\ud800"', True, ['"\\udfff"']) and out.encode() and json.loads(out)["tool_call"]["id"] == "\ud800"
+    assert parse("tool", json.dumps({"tool_call_id": "\ud800", "content": "\ud800"}), {})[0][1] == call_id and chat_format.identifier('"q') != '"q'
+
+
+def linked_chats(rows, schemas):
+    """By brute force, a conversation at a time."""
+    parts = [(c, t, k, *p) for c, t, role, text in rows for k, p in enumerate(chat_format.parse(role, text, schemas))]
+    out = []
+    for conv in {p[0] for p in parts}:
+        mine = [p for p in parts if p[0] == conv]
+        calls = {}
+        for p in sorted((p for p in mine if p[3] == "call" and p[4] is not None and conv is not None), key=lambda p: (p[1] is not None, p[1] or 0, p[2], p[6])):
+            calls.setdefault(p[4], p)
+        level, turn = {c: 0 for c in calls}, {c: p[1] for c, p in calls.items()}
+        for _ in range(len(calls) + 1):  # a chain has no more steps than calls
+            before = dict(level)
+            for c, p in calls.items():
+                for n in p[6]:
+                    if n in calls:
+                        level[c] = max(level[c], before[n] + 1)
+                        turn[c] = max((t for t in (turn[c], turn[n]) if t is not None), default=None)
+        stuck = {c for c in calls if level[c] >= len(calls)}
+        for _ in calls:
+            stuck |= {c for c, p in calls.items() if stuck.intersection(p[6])}
+        answered = {p[4] for p in mine if p[3] == "result"}
+        for c, t, k, kind, call_id, valid, _, text in mine:
+            met = call_id in calls and call_id not in stuck
+            linked = met if kind == "result" else met and call_id in answered if kind == "call" else None
+            deep = 0 if kind == "message" else (2 * level[call_id] if met else None) if kind == "call" else 2 * level[call_id] + 1 if met else 1
+            place = max((x for x in (t, turn[call_id] if met else None) if x is not None), default=None)
+            out.append((c, t, k, kind, call_id, linked, valid and (kind != "call" or met), deep, place, text))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("local", [5_000, 6])
+def test_chats_against_brute_force(spark, local):
+    rnd, rows = random.Random(4), []
+    for conv in [*range(600), None]:
+        ids = [f"c{k}" for k in range(rnd.choice([0, 1, 3, 8, 30 if conv and conv % 50 == 0 else 5]))]
+        for t in range(rnd.randint(1, 8)):
+            kind = rnd.random()
+            if kind < 0.3 or not ids:
+                rows.append((conv, t, rnd.choice(["user", "assistant", None]), rnd.choice(["hi", None, "", "{", '{"tool_calls": []}', "é" * 50])))
+            elif kind < 0.8:
+                made = []
+                for _ in range(rnd.randint(1, 5)):
+                    needs = rnd.sample(ids, min(len(ids), rnd.choice([0, 0, 1, 2]))) + (["missing"] if rnd.random() < 0.1 else [])
+                    args = {"x": [{"$result": n} for n in needs], "y": rnd.choice([1, 1.0, "s", None, True])}
+                    made.append({"id": rnd.choice([*ids, None]), "name": rnd.choice(["add", "none"]), "arguments": rnd.choice([args, args, args, 3])})
+                rows.append((conv, rnd.choice([t, t, None]), "assistant", json.dumps({"tool_calls": made})))
+            else:
+                rows.append((conv, t, "tool", json.dumps({"tool_call_id": rnd.choice([*ids, "missing"]), "content": rnd.choice([1, "r", None])})))
+        if rnd.random() < 0.1:
+            rows.append(rows[-1])
+    chain = [{"id": f"k{k}", "name": "add", "arguments": {"x": [{"$result": f"k{k - 1}"}] if k else [], "y": 1}} for k in range(12)]
+    rows += [(1000, 12 - k, "assistant", json.dumps({"tool_calls": [c]})) for k, c in enumerate(chain)] + [(1000, 0, "tool", json.dumps({"tool_call_id": "k11", "content": 1}))]
+    rows.append((1001, 0, "user", "w " * 2_500_000))
+    schemas = {"add": {"type": "object", "properties": {"x": {"type": "array"}, "y": {"type": ["integer", "null"]}}, "required": ["x"]}}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as salt", "2 as level").repartition(4)
+    got = [tuple(r) for r in chat_format.format_chats(df, schemas, local).collect()]
+    want = linked_chats(rows, schemas)
+    assert sorted(got, key=repr) == want
+    assert sum(bool(r[5]) for r in want) > 300 and any(r[7] is None for r in want) and max(r[7] or 0 for r in want) >= 23
+
+
 def hits(texts, items, window=13):
     out = {}
     wins = [(i, w) for i, t in items if i is not None for w in decontamination.windows_of(decontamination.words_of(t or ""), window)]

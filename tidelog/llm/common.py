@@ -106,12 +106,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 def attach_stats(df: DataFrame, keys: list[str], by: Column, salts: int = 64, **stats: tuple[str, str]) -> DataFrame:
     """Give each row its group's statistics; no task holds a whole group.
 
-    stats: name=(kind, column) with kind max, min or count. Groups are summed in two steps and joined
+    stats: name=(kind, column) with kind max, min, sum or count. Groups are summed in two steps and joined
     again by (keys, salt), so that a hot group's rows are dealt over up to `salts` tasks. The list of
     salts that a group carries has at most `salts` entries. Keys must not be null.
     """
-    agg = {"max": F.max, "min": F.min, "count": lambda c: F.count(F.lit(1))}
-    again = {"max": F.max, "min": F.min, "count": F.sum}
+    agg = {"max": F.max, "min": F.min, "sum": F.sum, "count": lambda c: F.count(F.lit(1))}
+    again = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     parts = salted.groupBy(*keys, "_salt").agg(*[agg[k](F.col(c)).alias(n) for n, (k, c) in stats.items()])
     whole = parts.groupBy(*keys).agg(*[again[k](F.col(n)).alias(n) for n, (k, _) in stats.items()], F.collect_set("_salt").alias("_salts"))

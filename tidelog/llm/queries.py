@@ -40,8 +40,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
 
 
+#: The tools that a call may name in production, with their arguments' JSON schemas.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "read_file": {"type": "object", "properties": {"path": {"type": ["string", "object"]}}, "required": ["path"], "additionalProperties": False},
+    "run_code": {"type": "object", "properties": {"language": {"enum": ["python", "sql", "shell"]}, "code": {}}, "required": ["language", "code"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {}}, "required": ["expression"], "additionalProperties": False},
+}
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
