@@ -16,8 +16,12 @@ from .common import Memo, attach_stats, bitmap_of, bounded_batches, filter_words
 WINDOW, GRAM = 50, 16
 #: Bits of the filters (8 MB each); fuller filters only let more rows through.
 FILTER_BITS = 26
-#: A minimiser in more super-k-mers than this, and than a 65,536th of all, is dealt over salts.
+#: Windows of a super-k-mer at most; a longer run of windows with one minimiser travels as several.
+MOST_WINDOWS = 256
+#: A minimiser in more super-k-mers than this is dealt over salts, so many that a bucket seldom has more.
 HOT_ROWS = 1_000
+#: Each level of hotter minimisers has STEP times the salts of the one before, and a filter of 2**LEVEL_BITS bits.
+STEP, LEVEL_BITS = 8, 22
 #: Super-k-mers that a bucket task is meant for.
 TASK_ROWS = 100_000
 #: Words whose hash a worker remembers; only speed depends on it.
@@ -68,6 +72,9 @@ def runs(words: list[bytes], lengths: np.ndarray, window: int, gram: int, memo:
     new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(at)))
+    more = -(-count // MOST_WINDOWS)  # long runs in parts
+    part = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    begin, count = np.repeat(begin, more) + part * MOST_WINDOWS, np.minimum(np.repeat(count, more) - part * MOST_WINDOWS, MOST_WINDOWS)
     return doc[begin], at[begin] - first[doc[begin]], at[begin], count, low[begin]
 
 
@@ -88,15 +95,16 @@ def _minimisers(window: int, gram: int):
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
             keys, n = np.unique(low[new], return_counts=True)
+            rows = np.unique(low, return_counts=True)[1]
             if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(rows.astype(np.int64))], ["h", "n", "rows"])
 
     return run
 
 
 def _super_kmers(window: int, gram: int, bits: int, filter_, hot_):
     def run(batches):
-        bitmap, hot = filter_.value, hot_.value
+        bitmap, levels = filter_.value, hot_.value
         for part, words, (doc, start, at, count, low) in _laid(batches, window, gram):
             keep = np.flatnonzero(in_bitmap(low, bitmap, bits)) if len(low) else low
             if not len(keep):
@@ -104,9 +112,14 @@ def _super_kmers(window: int, gram: int, bits: int, filter_, hot_):
             ids = part.column("doc_id").to_pylist()
             lows = low[keep].view(np.int64)
             docs = [ids[d] for d in doc[keep]]
-            salts = [d % hot[m] if m in hot and d is not None else 0 for m, d in zip(lows.tolist(), docs, strict=True)]
+            salts = np.ones(len(keep), np.int64)
+            for level, hot in enumerate(levels):
+                salts[in_bitmap(low[keep], hot, LEVEL_BITS)] = 4 * STEP ** (level + 1)
+            hot = salts > 1
+            own = np.array([-1 if d is None else d for d in docs], np.int64).view(np.uint64) * _M2 + start[keep].astype(np.uint64) * _M1
+            salts = (_mixed(own) % salts.astype(np.uint64)).astype(np.int32)
             packed = [b" ".join(words[a : a + c + window - 1]) for a, c in zip(at[keep].tolist(), count[keep].tolist(), strict=True)]
-            arrays = [pa.array(lows), pa.array(salts, pa.int32()), pa.array([m in hot for m in lows.tolist()]), pa.array(docs, pa.int64()), pa.array(start[keep]), pa.array(packed, pa.binary())]
+            arrays = [pa.array(lows), pa.array(salts), pa.array(hot), pa.array(docs, pa.int64()), pa.array(start[keep]), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["m", "salt", "hot", "doc_id", "start", "packed"])
 
     return run
@@ -189,11 +202,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     """
     bounded_batches(spark)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    seen = texts.mapInArrow(_minimisers(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = texts.mapInArrow(_minimisers(window, gram), "h long, n long, rows long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("n > 1")
     seen = written(seen, "minimisers")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    most = max(hot_rows, total >> 16)  # so at most 65,536 minimisers are hot
-    hot = {r.h: -(-r.n // most) * 4 for r in seen.where(F.col("n") > most).collect()}
+    total, hottest = seen.agg(F.sum("rows"), F.max("rows")).first()
+    total, hot = total or 0, []
+    while (hottest or 0) > hot_rows * STEP ** len(hot):  # a filter for each level; who passes by mistake is dealt wider than need be
+        level = seen.where(F.col("rows") > hot_rows * STEP ** len(hot))
+        hot.append(bitmap_of(filter_words(level.select("h"), LEVEL_BITS), LEVEL_BITS))
     bitmap = bitmap_of(filter_words(seen, bits), bits)
     filter_, hot_ = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
