@@ -42,10 +42,12 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     each = split.select("host", F.explode(F.concat(F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256))), F.array(F.lit("")))).alias("line"))
     counted = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     counted = written(counted.where((F.col("line") == "") | (F.col("n") >= min_pages)), "lines")
-    pages_of = counted.where("line = ''").select("host", F.col("n").alias("pages"))
-    boiler = counted.where("line <> ''").join(pages_of, "host").where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    pages_of = counted.where("line = ''").select("host", F.col("n").alias("pages"), every)
+    dealt = counted.where("line <> ''").withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(salts)).cast("int"))
+    boiler = dealt.join(pages_of, ["host", "salt"]).where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
     boiler = boiler.groupBy("host").agg(F.collect_list("line").alias("drop"))
-    boiler = boiler.select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    boiler = boiler.select("host", "drop", every)
     salted = split.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     kept = salted.join(boiler, ["host", "salt"], "left").withColumn("kept", F.expr("filter(lines, x -> drop is null or not array_contains(drop, sha2(x, 256)))"))
     return kept.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
