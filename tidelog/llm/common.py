@@ -25,19 +25,31 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share; one of our own only where none is set and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.tidelog.ownSharedDir", None)
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="tidelog-")
             spark.conf.set("spark.tidelog.ownSharedDir", named)
             spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidelog/{spark.sparkContext.applicationId}"
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tidelog/{what}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application's calls have written; results not yet read need them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -6,7 +6,7 @@ from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -132,17 +132,12 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     blocks = max(16, -(-rows // BLOCK_ROWS))
     placed = docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
     placed = placed.select("doc_id", "size", "text_crc32", sum(past, F.lit(0)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
-    # one count for each block of each shard: shards * blocks rows, one block to about a million rows
-    per = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")).collect()
-    before, at = [], {}
-    for s, b, n in sorted(per):
-        before.append((s, b, at.get(s, 0)))
-        at[s] = at.get(s, 0) + n
-    offsets = docs.sparkSession.createDataFrame(before, "shard int, block long, before long")
-    from pyspark.sql import Window
-
+    # one count for each block of each shard; blocks grow with the rows, and only their counts meet in a window
+    per = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per.select("shard", "block", F.coalesce(before, F.lit(0)).alias("before"))
     slot = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
-        placed.withColumn("_n", slot).join(F.broadcast(offsets), ["shard", "block"])
+        placed.withColumn("_n", slot).join(offsets, ["shard", "block"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("_n")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

@@ -16,6 +16,10 @@ from .common import attach_stats, bounded_batches, components, slices, text_or_e
 SHINGLE, SEED, BITS_APART = 4, 42, 4
 #: Key rows that a bucket task is meant for.
 TASK_ROWS = 1_000_000
+#: Shingles' hashes that a worker turns to bits at once.
+HASHES = 50_000
+#: Fingerprints of a bucket that are held against each other directly; more are dealt by equal blocks of bits first.
+BUCKET = 2_000
 #: (shift, bits) of the three segments of a fingerprint; the last is filled up with zeros to 23 bits.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fixed value: the generator polynomial of the binary Golay code (23, 12, 7).
@@ -23,29 +27,43 @@ GOLAY = 0b110001110101
 
 
 def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' hashes."""
+    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' hashes.
+
+    HASHES of them are held at a time, however long a text is.
+    """
     import xxhash
 
-    hashes, counts = [], np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
+    ones, counts = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    held: list[int] = []
+    spans: list[tuple[int, int]] = []  # text, hashes in held
+
+    def count() -> None:
+        if held:
+            bits = np.unpackbits(np.array(held, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sizes = np.array([n for _, n in spans])
+            np.add.at(ones, [k for k, _ in spans], np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64))
+            held.clear()
+            spans.clear()
+
     for k, text in enumerate(texts):
         words = text.encode().lower().split()
         if not words:
             continue
         joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        begins = np.concatenate([[0], ends[:-1]])
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         n = counts[k] = max(1, len(words) - shingle + 1)
-        stops = (ends - 1)[shingle - 1 :] if len(words) >= shingle else ends[-1:] - 1
-        hashes += [digest(joined[a:b], seed) for a, b in zip(begins[:n].tolist(), stops.tolist(), strict=True)]
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > counts[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+        del words
+        begins = np.concatenate([[0], ends[: n - 1]])
+        stops = ends[-n:] - 1
+        for at in range(0, n, HASHES):
+            some = [digest(joined[a:b], seed) for a, b in zip(begins[at : at + HASHES].tolist(), stops[at : at + HASHES].tolist(), strict=True)]
+            held += some
+            spans.append((k, len(some)))
+            if len(held) >= HASHES:
+                count()
+    count()
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def _fingerprints(batches):
@@ -124,12 +142,26 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
 
 
-def bucket_links(fps: np.ndarray, apart: int = BITS_APART) -> Iterator[tuple[int, int]]:
+def bucket_links(fps: np.ndarray, apart: int = BITS_APART, at: int = 0) -> Iterator[tuple[int, int]]:
     """Links that join what is within `apart` bits in a bucket: a spanning forest, at most len(fps) - 1.
 
     Each fingerprint is held once against those that no link has reached yet, so a tight bucket takes
     about as many steps as it has fingerprints, and no pair within a component is emitted beyond need.
+
+    In a larger bucket, of apart + 1 blocks of bits one is equal in two that link; so each block in turn deals
+    it into smaller ones, with a forest for each. Those that are still large have a block in common, and mostly
+    links.
     """
+    if len(fps) > BUCKET and at <= apart:
+        for k in range(at, apart + 1):
+            low, high = 64 * k // (apart + 1), 64 * (k + 1) // (apart + 1)
+            block = fps >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            for part in np.split(fps[order], cuts):
+                if len(part) > 1:
+                    yield from bucket_links(part, apart, apart + 1)
+        return
     left = fps
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
