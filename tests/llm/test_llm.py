@@ -85,7 +85,11 @@ def test_token_counts(spark, docs, rows, empty, library):
     again = run(docs)
     assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in again} == want and all(r.over_limit == (r.n_tokens > 2048) for r in again)
     assert spark.read.schema(token_counts.CACHE_SCHEMA).parquet(cache).count() == before
-    assert len(run(with_odd_rows(spark, docs))) == len(rows) + 5
+    odd = run(with_odd_rows(spark, docs))
+    n = len(library.encode("the of", add_special_tokens=False).ids)
+    assert len(odd) == len(rows) + 5 and sorted(r.n_tokens for r in odd if r.doc_id is None) == [0, n] and all((r.n_bytes, r.n_tokens) == want[r.doc_id] for r in odd if r.doc_id is not None)
+    small = token_counts.count_tokens(spark, with_odd_rows(spark, docs), queries.tokenizer_path(), new_dir(spark, "cache"), bits=8)  # full filters
+    assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, odd), key=repr)
     assert token_counts.count_tokens(spark, empty, queries.tokenizer_path(), new_dir(spark, "cache")).count() == 0
 
 
@@ -255,6 +259,16 @@ def test_substrings(spark, docs, rows, empty, window, gram, bits, hot):
         assert substring_dedup.remove_repeats(spark, empty).count() == 0
 
 
+def test_substrings_long_texts(spark):
+    """One word over and over, and a long text within a longer one."""
+    rnd = random.Random(6)
+    prose = " ".join(f"{rnd.choice(WORDS)}{rnd.randint(0, 500)}" for _ in range(60_000))
+    rows = [(5, "w " * 1_000_000), (3, "w " * 700_000), (9, f"own words {prose} more of them"), (None, prose), (7, prose), (7, prose)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark, df).collect()), key=repr)
+    assert got == sorted([(5, 1_000_000, 1_000_000), (3, 700_000, 0), (9, 60_005, 60_000), (None, 60_000, 0), (7, 60_000, 0), (7, 60_000, 0)], key=repr)
+
+
 def test_lines(spark):
     page = lambda *lines: "<html><head><script>x<p></script></head><body>" + "".join(f"<p class='a'> {x} </p>" for x in lines) + "<!-- c\n --></body></html>"
     rows = [(i, f"https://A.example/{i}?q", page("Menu", f"own <b>{i}</b>", "Menu", "twice" if i < 2 else "")) for i in range(5)]
@@ -448,6 +462,36 @@ def test_keys_meet():
     assert sorted(set(simhash.golay_tables()[2].tolist())) == [1, 6]
 
 
+def test_large_buckets():
+    """A bucket of many fingerprints, few of them near each other, links as two by two comparison does."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**64, 6000, dtype=np.uint64)
+    near = fps[:500].copy()
+    for i in range(len(near)):
+        for b in rng.choice(64, 1 + i % 5, replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(b)
+    fps = np.unique(np.concatenate([fps, near, fps[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
+    group = {int(f): int(f) for f in fps}
+
+    def find(a):
+        while group[a] != a:
+            a = group[a]
+        return a
+
+    for a, b in simhash.bucket_links(fps):
+        assert (a ^ b).bit_count() <= 4
+        group[find(a)] = find(b)
+    for f in fps:
+        for g in fps[np.bitwise_count(fps ^ f) <= 4]:
+            assert find(int(f)) == find(int(g))
+
+
+def test_long_texts_fingerprint():
+    rnd = random.Random(8)
+    long = " ".join(rnd.choice(WORDS) for _ in range(60_001))
+    assert [f"{x:016x}" for x in simhash.fingerprints(["a b", long, "", "same " * 1_000_000])] == [f"{fingerprint(t):016x}" for t in ("a b", long, "", "same same same same")]
+
+
 def test_bucket_links_span():
     rng = np.random.default_rng(1)
     fps = np.unique((rng.integers(0, 2**64, 1, dtype=np.uint64)[0] ^ (np.uint64(1) << rng.integers(0, 64, (400, 3)).astype(np.uint64)).sum(axis=1).astype(np.uint64)))

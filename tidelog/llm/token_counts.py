@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, remember, slices, text_or_empty
+from .common import Memo, bounded_batches, filter_words, maybe_in, remember, slices, text_or_empty, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+#: Bits of the filters of repeated texts and of stored digests (at most 2**20 broadcast rows each).
+FILTER_BITS = 26
 #: Words that a worker remembers; only speed depends on it.
 MEMO_WORDS = 150_000
 # Fixed value: the split pattern of a tokenizer whose tokens never hold or cross white space.
@@ -79,12 +81,14 @@ def _encode(path: str, by_words: bool):
     return run
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048) -> DataFrame:
+def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
     The SHA-256 of the normalised text and the tokenizer's digest are looked up in the table at `cache`
     (made if absent; one writer at a time). Only digests not found there are encoded, each once, and
-    appended. Text moves only for those; rows of documents meet their counts by digest.
+    appended; rows of documents meet their counts by digest. Two bounded filters spare texts the way over the
+    shuffle: one that is surely in no other row and surely not stored is encoded where it stands. Fuller
+    filters only send more texts by the other way.
 
     A null text counts as empty, an empty text has 0 tokens, a null doc_id is kept, repeated rows each
     get their count, no rows give no rows, other columns are ignored.
@@ -92,17 +96,26 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
     bounded_batches(spark)
     by_words, version = wordwise(tokenizer), tokenizer_digest(tokenizer)
     text = normalised(text_or_empty(), by_words)
-    keyed = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    digest = F.unhex(F.sha2("text", 256))
+    texts = docs.select("doc_id", text.alias("text"))
 
     def stored() -> DataFrame:
         return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
+    def append(new: DataFrame) -> None:
+        new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(stored(), "digest", "left_anti").withColumnRenamed("digest", "miss")
-    texts = docs.select("doc_id", text.alias("text"))
-    digest = F.unhex(F.sha2("text", 256))
-    misses = texts.join(first, F.col("doc_id").eqNullSafe(F.col("rep")) & (digest == F.col("miss")), "left_semi").select(digest.alias("digest"), "text")
-    new = misses.mapInArrow(_encode(tokenizer, by_words), "digest binary, n_tokens long")
-    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows of one doc_id may repeat
-    new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return keyed.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    repeated = written(filter_words(texts.select(F.xxhash64("text").alias("h")), bits, twice=True), "repeated-bits")
+    known = written(filter_words(stored().select(F.xxhash64("digest").alias("h")), bits), "stored-bits")
+    marked = maybe_in(maybe_in(texts, F.xxhash64("text"), repeated, bits, "again").withColumn("digest", digest), F.xxhash64("digest"), known, bits, "known")
+    encode = _encode(tokenizer, by_words)
+    # what may be stored or repeated is looked up, and one row of each digest that misses is encoded
+    some = marked.where("again or known")
+    first = some.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(stored(), "digest", "left_anti").withColumnRenamed("digest", "miss")
+    misses = some.join(first, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("miss")), "left_semi").select("digest", "text")
+    missed = misses.mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows of one doc_id may repeat
+    alone = marked.where("not again and not known").select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
+    append(alone.unionByName(missed))
+    sizes = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return sizes.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
