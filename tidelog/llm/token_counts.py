@@ -98,6 +98,9 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
     text = normalised(text_or_empty(), by_words)
     digest = F.unhex(F.sha2("text", 256))
     texts = docs.select("doc_id", text.alias("text"))
+    # all that later steps need of a row but its text
+    keyed = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text.alias("text"))
+    keyed = written(keyed.select("doc_id", "n_bytes", digest.alias("digest"), F.xxhash64("text").alias("h")), "keys")
 
     def stored() -> DataFrame:
         return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
@@ -106,16 +109,21 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
         new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    repeated = written(filter_words(texts.select(F.xxhash64("text").alias("h")), bits, twice=True), "repeated-bits")
+    repeated = written(filter_words(keyed.select("h"), bits, twice=True), "repeated-bits")
     known = written(filter_words(stored().select(F.xxhash64("digest").alias("h")), bits), "stored-bits")
-    marked = maybe_in(maybe_in(texts, F.xxhash64("text"), repeated, bits, "again").withColumn("digest", digest), F.xxhash64("digest"), known, bits, "known")
-    encode = _encode(tokenizer, by_words)
+    cold = known.isEmpty()
+
+    def marked(rows: DataFrame, h, d) -> DataFrame:
+        """maybe: the row's text may be in another row too, or stored."""
+        rows = maybe_in(rows, h, repeated, bits, "maybe")
+        return rows if cold else maybe_in(rows, F.xxhash64(d), known, bits, "known").withColumn("maybe", F.col("maybe") | F.col("known")).drop("known")
+
     # what may be stored or repeated is looked up, and one row of each digest that misses is encoded
-    some = marked.where("again or known")
-    first = some.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(stored(), "digest", "left_anti").withColumnRenamed("digest", "miss")
+    first = marked(keyed, F.col("h"), F.col("digest")).where("maybe").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(stored(), "digest", "left_anti").withColumnRenamed("digest", "miss")
+    flagged, encode = marked(texts, F.xxhash64("text"), digest), _encode(tokenizer, by_words)
+    some = flagged.where("maybe").withColumn("digest", digest)
     misses = some.join(first, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("miss")), "left_semi").select("digest", "text")
     missed = misses.mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows of one doc_id may repeat
-    alone = marked.where("not again and not known").select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
+    alone = flagged.where("not maybe").select(digest.alias("digest"), "text").mapInArrow(encode, "digest binary, n_tokens long")
     append(alone.unionByName(missed))
-    sizes = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    return sizes.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return keyed.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
