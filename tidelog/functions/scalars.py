@@ -9,9 +9,15 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The offset basis and prime of the 32-bit FNV hash.
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
 
 
+def stable_hash(x: Column) -> Column:
+    """A hash of 60 bits that any system with MD5 can tell: of the value as text, its first 15 hexadecimal digits."""
+    return F.conv(F.substring(F.md5(x.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def millis(ts: str | Column) -> Column:
     """Epoch milliseconds of a timestamp without zone, read as UTC."""
     return F.unix_millis((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))

@@ -7,6 +7,9 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stable_hash
+from ..sources.shared import written
+
 # ---- order of delivery ----
 
 # Lanes in order, and their weights.
@@ -119,8 +122,27 @@ def forecast(df: DataFrame, by: list[str], t: str, lag: str, limit: float, last:
     return out.withColumn("eta", F.when((F.col("n") >= least) & (F.col("slope") > 0) & (F.col("now") < limit), F.greatest(eta, F.lit(0.0))))
 
 
-def scaling_signal(lag_ms: Column, rate: Column, high_lag: float = 1000, high_rate: float = 1, idle_lag: float = 10, idle_rate: float = 0.1) -> Column:
-    return F.when((lag_ms >= high_lag) & (rate >= high_rate), "scale_up").when((lag_ms <= idle_lag) & (rate <= idle_rate), "scale_down").otherwise("hold")
+# The decision that goes with a reason; all other reasons hold.
+SCALING = {"lag-above-threshold": "scale_up", "drained-idle": "scale_down"}
+
+
+def scaling_reason(lag_p99: Column, watermark: Column, rate: Column, high_lag: float = 1000, high_rate: float = 1, idle_lag: float = 10, idle_rate: float = 0.1) -> Column:
+    """Why a consumer should grow, shrink or stay. The lag is the p99, or the watermark where there is none.
+
+    Lag strictly above high_lag with a rate of high_rate or more asks for more; a p99 and a watermark within idle_lag with
+    a rate strictly below idle_rate for less. A missing watermark counts as drained; a missing rate confirms nothing.
+    """
+    lag = F.coalesce(lag_p99, watermark)
+    idle = (lag_p99 <= idle_lag) & (F.coalesce(watermark, F.lit(0)) <= idle_lag) & (rate < idle_rate)
+    over = F.when(rate.isNull(), "no-rate-data").when(rate >= high_rate, "lag-above-threshold").otherwise("lag-high-rate-dropping")
+    return F.when(lag.isNull(), "no-data").when(lag > high_lag, over).when(idle, "drained-idle").otherwise("lag-normal")
+
+
+def scaling_signal(reason: Column) -> Column:
+    out = F.lit("hold")
+    for why, signal in SCALING.items():
+        out = F.when(reason == why, signal).otherwise(out)
+    return out
 
 
 def diagnose(checks: DataFrame) -> DataFrame:
@@ -129,17 +151,24 @@ def diagnose(checks: DataFrame) -> DataFrame:
     return checks.agg(F.element_at(F.array(F.lit("healthy"), F.lit("degraded"), F.lit("critical")), worst + 1).alias("health"))
 
 
-# What to do about a check that warns or fails.
-REMEDIES = {"lag": "add_consumers", "errors": "inspect_failures", "hotspot": "split_key", "expired": "raise_ttl", "drops": "raise_capacity"}
+# Kinds of actions, the one that reaches least first.
+REMEDIES = ("resume-subscriber", "prune-linger-windows", "rebalance-group")
 
 
-def remediation(checks: DataFrame, most: int = 10) -> DataFrame:
-    """Actions for what fails first, then for what warns."""
-    action = F.lit("investigate")
-    for check, what in REMEDIES.items():
-        action = F.when(F.col("check") == check, what).otherwise(action)
-    severity = F.when(F.col("verdict") == "fail", 0).otherwise(1)
-    return checks.where("verdict <> 'ok'").withColumn("severity", severity).withColumn("action", action).orderBy("severity", "check").limit(most)
+def remediation(degraded: DataFrame, lingering: DataFrame, skewed: DataFrame, most: int = 10) -> DataFrame:
+    """kind, target and place of at most `most` actions.
+
+    Degraded subscribers (subscriber_id, auto_resume_armed) are resumed unless they resume by themselves, groups
+    (group_id, expired_windows) with expired handoff windows lose these, and groups (group_id, partitions, members)
+    with fewer members than partitions are balanced anew.
+    """
+    plans = (degraded.where("not auto_resume_armed").select(F.col("subscriber_id").alias("target")), lingering.where("expired_windows > 0").select(F.col("group_id").alias("target")), skewed.where("members < partitions").select(F.col("group_id").alias("target")))
+    out = None
+    for k, (kind, plan) in enumerate(zip(REMEDIES, plans, strict=True)):
+        part = plan.select(F.lit(k).alias("reach"), F.lit(kind).alias("kind"), "target")
+        out = part if out is None else out.unionByName(part)
+    first = out.orderBy("reach", "target").limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("reach", "target")).cast("long")).drop("reach")  # `most` rows
 
 
 def exposition(metrics: DataFrame) -> DataFrame:
@@ -166,6 +195,22 @@ def _score(item: str, member: str) -> str:
     return hashlib.sha256(f"{item}\0{member}".encode()).hexdigest()[:16]
 
 
+def zone_aware_member(df: DataFrame, item: str, zones: dict[str, list[str]]) -> Column:
+    """The best member of the best zone that has members, as a column."""
+    live = {z: ms for z, ms in zones.items() if ms}
+    zone, member = rendezvous(df, item, list(live)), F.lit(None).cast("string")
+    for z, ms in live.items():
+        member = F.when(zone == z, rendezvous(df, item, ms)).otherwise(member)
+    return member
+
+
+def lag_aware_member(df: DataFrame, item: str, members: list[str], lags: dict[str, float]) -> Column:
+    """The member with the least lag, the greatest hash among equals; one without a sample counts as the worst."""
+    worst = float(max(lags.values(), default=0))
+    scored = F.array(*[F.struct(F.lit(-float(lags.get(m, worst))).alias("l"), F.substring(F.sha2(F.concat(F.col(item).cast("string"), F.lit("\0"), F.lit(m)), 256), 1, 16).alias("s"), F.lit(m).alias("m")) for m in members])
+    return F.array_max(scored)["m"]
+
+
 def zone_aware(item: str, zones: dict[str, list[str]]) -> str | None:
     """The best member of the best zone that has members."""
     live = sorted((z for z, ms in zones.items() if ms), key=lambda z: _score(item, z), reverse=True)
@@ -204,7 +249,7 @@ def round_robin(df: DataFrame, members: list[str], by: list[str]) -> DataFrame:
 
 def partition_of(key: Column, n: int, explicit: Column | None = None) -> Column:
     """An explicit partition, else by the key's hash, else 0."""
-    own = F.coalesce(F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), F.lit(0))
+    own = F.coalesce(F.pmod(stable_hash(key), F.lit(n)).cast("int"), F.lit(0))
     own = F.when(key.isNull(), 0).otherwise(own)
     return own if explicit is None else F.coalesce(explicit, own)
 
@@ -255,14 +300,27 @@ def tail_sample(spans: DataFrame, interesting: Column, rate: float) -> DataFrame
     return spans.withColumn("_k", keep).where("_k").drop("_k")
 
 
-def span_depths(spans: DataFrame, most: int = 16) -> DataFrame:
-    """Each span's depth below its root, a join for each level."""
-    level = spans.where("parent_id is null").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    out, rest = level, spans.where("parent_id is not null").select("trace_id", "span_id", "parent_id")
-    for d in range(1, most):
-        level = rest.join(level.select("trace_id", F.col("span_id").alias("parent_id")), ["trace_id", "parent_id"]).select("trace_id", "span_id", F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+def span_depths(spans: DataFrame) -> DataFrame:
+    """Each span's depth below its root, by pointers that double: as many rounds as the depth has binary digits.
+
+    Spans whose root is missing, and those in or below a cycle, have none and drop out.
+    """
+    now = spans.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    left = None
+    while True:
+        now = written(now, "spans")
+        rest = now.where("up is not null").count()
+        if rest == left or not rest:
+            return now.where("up is null").select("trace_id", "span_id", F.col("depth").cast("int").alias("depth"))
+        left = rest
+        above = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"), F.lit(True).alias("met"))
+        now = now.join(above, ["trace_id", "up"], "left").where("up is null or met")
+        now = now.select("trace_id", "span_id", F.when(F.col("up").isNotNull(), F.col("upper")).alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+
+
+def trace_query(spans: DataFrame, trace_id: str | None = None, since: int | None = None, until: int | None = None, limit: int | None = None) -> DataFrame:
+    """Archived spans by trace and [since, until) of at_ms; a limit keeps the latest."""
+    return audit_query(spans if trace_id is None else spans.where(F.col("trace_id") == trace_id), since=since, until=until, limit=limit)
 
 
 def config_drift(old: DataFrame, new: DataFrame) -> DataFrame:

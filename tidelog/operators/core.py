@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import topic_matches
+from ..functions.scalars import stable_hash
 
 # ---- scans ----
 
@@ -85,10 +86,17 @@ def alive(now_ms: Column, at: Column, ttl: Column, deadline: Column | None = Non
 
 def sampled(ident: Column, rate: float, critical: Column | None = None) -> Column:
     """A repeatable sample by identifier; critical rows are always in it."""
-    keep = F.pmod(F.xxhash64(ident), F.lit(1_000_000)) < int(rate * 1_000_000)
+    keep = F.pmod(stable_hash(ident), F.lit(1_000_000)) < int(rate * 1_000_000)
     return keep if critical is None else keep | critical
 
 
+def delivered_sample(seq: Column, rate: int = 1) -> Column:
+    """What a subscriber with a delivery sample rate gets: each topic's sequence numbers that the rate divides."""
+    if rate < 1:
+        raise ValueError("a delivery sample rate is a positive whole number")
+    return seq % rate == 0
+
+
 def first_gate(gates: list[tuple[str, Column]]) -> Column:
     """The name of the first gate that refuses (its column is true), null if all admit."""
     return reduce(lambda rest, g: F.when(g[1], g[0]).otherwise(rest), reversed(gates), F.lit(None).cast("string"))
@@ -250,22 +258,32 @@ def idle_advances(df: DataFrame, idle_ms: int) -> DataFrame:
 # ---- joins ----
 
 
+def join_late(window_ms: int) -> Column:
+    """Whether a row of a join comes when its whole window has passed."""
+    return F.col("ts") < F.col("now") - window_ms
+
+
 def stream_join(left: DataFrame, right: DataFrame, window_ms: int, how: str = "inner", drop_late: bool = True, max_buffered: int | None = None) -> DataFrame:
     """Windowed join in order of arrival on key: the earlier row's time lies in [later - window, later].
 
     Sides have arrival, key, ts, now. The time range becomes an equality of window numbers, so that a pair
     search reads two windows and not a key's whole history. `left` adds a row without a partner for each left
-    row that had none when it came; a later partner still gives its pair. Rows late on arrival (ts < now - window)
-    take no part. With max_buffered a side's older rows are forgotten.
+    row that had none when it came; a later partner still gives its pair. Rows late on arrival (join_late)
+    take no part. With max_buffered a side's older rows are forgotten: those of which the probe has seen that many
+    newer ones.
     """
-    late = F.col("ts") < F.col("now") - window_ms
+    sides = [df.where(~join_late(window_ms)) if drop_late else df for df in (left, right)]
+    both = reduce(DataFrame.unionByName, [df.select(F.coalesce("key", F.lit("")).alias("key"), "arrival", "ts", "now", F.lit(k).alias("_s")) for k, df in enumerate(sides)])
+    if max_buffered:
+        so_far = Window.partitionBy("key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("_0", F.count_if(F.col("_s") == 0).over(so_far)).withColumn("_1", F.count_if(F.col("_s") == 1).over(so_far))
+    else:
+        both = both.withColumn("_0", F.lit(0)).withColumn("_1", F.lit(0))
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        df = df.where(~late) if drop_late else df
-        df = df.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("arrival"))) if max_buffered else df.withColumn("_n", F.lit(0))
-        return df.select(F.coalesce("key", F.lit("")).alias("key"), *[F.col(c).alias(f"{name}_{c}") for c in ("arrival", "ts", "now", "_n")])
+    def side(k: int, name: str) -> DataFrame:
+        return both.where(F.col("_s") == k).select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("arrival", "ts", "now")], F.col(f"_{k}").alias(f"{name}_n"), F.col(f"_{1 - k}").alias(f"{name}_seen"))
 
-    left_, right_ = side(left, "l"), side(right, "r")
+    left_, right_ = side(0, "l"), side(1, "r")
 
     def meet(early: DataFrame, late_: DataFrame, e: str, p: str) -> DataFrame:
         e_b = early.withColumn("_b", F.floor(F.col(f"{e}_ts") / window_ms))
@@ -276,13 +294,11 @@ def stream_join(left: DataFrame, right: DataFrame, window_ms: int, how: str = "i
 
     r_first, l_first = meet(right_, left_, "r", "l"), meet(left_, right_, "l", "r")
     if max_buffered:
-        last = lambda probes, own, other: probes.join(other.groupBy("key").agg(F.sort_array(F.collect_list(f"{own}_arrival")).alias("_a")), "key")
-        newer = lambda own, probe: F.size(F.filter("_a", lambda a: (a > F.col(f"{own}_arrival")) & (a < F.col(f"{probe}_arrival"))))
-        r_first = last(r_first, "r", right_).where(newer("r", "l") < max_buffered).drop("_a")
-        l_first = last(l_first, "l", left_).where(newer("l", "r") < max_buffered).drop("_a")
-    both = left_.join(right_, ["key"]).where("l_arrival = r_arrival")
+        r_first = r_first.where(F.col("l_seen") - F.col("r_n") < max_buffered)
+        l_first = l_first.where(F.col("r_seen") - F.col("l_n") < max_buffered)
+    same = left_.join(right_, ["key"]).where("l_arrival = r_arrival")
     columns = ["key", "l_arrival", "r_arrival", "l_ts", "r_ts"]
-    pairs = r_first.select(columns).unionByName(l_first.select(columns)).unionByName(both.select(columns))
+    pairs = r_first.select(columns).unionByName(l_first.select(columns)).unionByName(same.select(columns))
     pairs = pairs.withColumn("window_start", F.greatest("l_ts", "r_ts") - window_ms)
     if how == "inner":
         return pairs

@@ -47,14 +47,15 @@ class Fold:
 
 class Dedup(Fold):
     """Keeps a row if its key was not kept within the last window; the window restarts when a row is kept, and
-    has passed exactly at its end. With max_entries the oldest kept id is forgotten first."""
+    has passed exactly at its end. With max_entries the oldest kept id is forgotten first. Rows whose column `exempt`
+    is true (redeliveries to a subscriber) pass, and are not remembered."""
 
-    def __init__(self, window_ms: int, ident: str = "message_id", at: str = "at_ms", max_entries: int | None = None):
-        self.window_ms, self.ident, self.at, self.most, self.kept = window_ms, ident, at, max_entries, OrderedDict()
+    def __init__(self, window_ms: int, ident: str = "message_id", at: str = "at_ms", max_entries: int | None = None, exempt: str | None = None):
+        self.window_ms, self.ident, self.at, self.most, self.exempt, self.kept = window_ms, ident, at, max_entries, exempt, OrderedDict()
 
     def step(self, row: dict) -> list[dict]:
         ident, now = row[self.ident], row[self.at]
-        if not ident:  # no identifier: never a duplicate
+        if not ident or self.exempt and row[self.exempt]:  # no identifier: never a duplicate
             return [row | {"admitted": True}]
         last = self.kept.get(ident)
         fresh = last is None or now - last >= self.window_ms
@@ -270,6 +271,60 @@ class Causal(Fold):
         return out
 
 
+class KeyReorder(Fold):
+    """Gives a key's rows out in the order of key_seq from 1: early ones wait for those before them. A row whose
+    `skipped` is true (filtered, shed, expired or cancelled) is not given out, but those behind it need not wait; one
+    behind the order already given out goes out at once."""
+
+    def __init__(self):
+        self.next, self.wait = 1, {}
+
+    def _out(self, row: dict, at: int) -> list[dict]:
+        return [] if row["skipped"] else [{"key": row["key"], "key_seq": row["key_seq"], "arrival": row["arrival"], "released_at": at}]
+
+    def step(self, row: dict) -> list[dict]:
+        if row["key_seq"] < self.next:
+            return self._out(row, row["arrival"])
+        self.wait[row["key_seq"]], out = row, []
+        while self.next in self.wait:
+            out += self._out(self.wait.pop(self.next), row["arrival"])
+            self.next += 1
+        return out
+
+
+class LaneDrain(Fold):
+    """Drains a subscriber's queue of lanes in rounds of `budget` rows: passes of 8 urgent, 2 normal and 1 bulk while
+    the budget lasts. A bulk lane that waits and gives nothing for `guard` rounds gives one row ahead of the next; a
+    queue of one lane is drained plainly."""
+
+    def __init__(self, budget: int, lanes: dict[str, int], guard: int = 10):
+        self.budget, self.lanes, self.guard, self.rows = budget, lanes, guard, {name: deque() for name in lanes}
+
+    def step(self, row: dict) -> list[dict]:
+        self.rows[row["lane"]].append(row)
+        return []
+
+    def finish(self) -> list[dict]:
+        out, n, starved, last = [], 0, 0, list(self.lanes)[-1]
+        while any(self.rows.values()):
+            n, left, taken = n + 1, self.budget, []
+            waiting, one = bool(self.rows[last]), sum(map(bool, self.rows.values())) == 1
+
+            def take(name: str, most: int) -> int:
+                some = min(most, len(self.rows[name]))
+                taken.extend(self.rows[name].popleft() for _ in range(some))
+                return some
+
+            if waiting and not one and starved + 1 >= self.guard:
+                left -= take(last, 1)
+            while left > 0 and any(self.rows.values()):
+                for name, weight in self.lanes.items():
+                    left -= take(name, left if one else min(weight, left))
+            starved = 0 if not waiting or any(r["lane"] == last for r in taken) else starved + 1
+            out += [r | {"round": n, "place": k + 1} for k, r in enumerate(taken)]
+        return out
+
+
 class EventTimeBuffer(Fold):
     """Releases rows in event-time order once the watermark has reached them or they were held max_hold_ms; late
     rows and those without a time pass at once. Ties go by arrival; what is left goes out at the end."""

@@ -142,10 +142,14 @@ def schema_version_gate(spark, sf):
     return events(spark, sf).select("arrival", gate.alias("verdict"))
 
 
-@query("select arrival, (value + 1) * 10 as migrated from ev where arrival % 3 = 0")
+@query("select arrival, case arrival % 3 when 0 then (value + 1) * 10 when 1 then value * 10 else value end as migrated from ev")
 def schema_migration(spark, sf):
     steps = {(1, 2): lambda c: c + 1, (2, 4): lambda c: c * 10, (1, 3): lambda c: c, (3, 5): lambda c: c, (5, 4): lambda c: c}
-    return events(spark, sf).where("arrival % 3 = 0").select("arrival", C.migrate(F.col("value"), 1, 4, steps).alias("migrated"))
+    version = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.col("arrival") % 3 + 1).cast("int"))
+    migrated = F.col("value")
+    for v in (1, 2):
+        migrated = F.when(version == v, C.migrate(F.col("value"), v, 4, steps)).otherwise(migrated)
+    return events(spark, sf).select("arrival", migrated.alias("migrated"))
 
 
 @query("select arrival, length(props) as bytes from ev where length(props) <= 8")
@@ -191,7 +195,11 @@ def atomic_batches(spark, sf):
     return C.atomic(rows, "batch", "i", "refused").select("arrival", "batch", "admitted", "first_refused")
 
 
-@query()
+#: stable_hash in SQL.
+_HASH = "('0x' || substr(md5({}), 1, 15))::bigint"
+
+
+@query(f"select arrival, topic from ev where topic = 'events.error' or {_HASH.format('arrival::varchar')} % 1000000 < 200000")
 def sampling(spark, sf):
     return events(spark, sf).where(C.sampled(F.col("arrival"), 0.2, F.col("topic") == "events.error")).select("arrival", "topic")
 
@@ -393,9 +401,28 @@ def stream_join_bounded(spark, sf):
     return C.stream_join(*_sides(spark, sf), 24 * HOUR, max_buffered=1)
 
 
-@query(_DIS + "select topic, count(*) as late from w where at_ms < wm group by 1")
+def _late_sides(spark, sf):
+    """Rows that come up to 30 hours after their time."""
+    return [side.withColumn("now", F.col("ts") + F.pmod(F.col("arrival") * 37, F.lit(31)) * HOUR) for side in _sides(spark, sf)]
+
+
+_LATE = "n as (select *, at_ms + (arrival * 37) % 31 * 3600000 as now from ev where topic in ('events.view', 'events.purchase')), k as (select * from n where at_ms >= now - 86400000), l as (select * from k where topic = 'events.view'), r as (select * from k where topic = 'events.purchase')"
+
+
+@query(f"+ {_LATE} select topic, count(*) as late from n where at_ms < now - 86400000 group by 1")
 def join_late_counts(spark, sf):
-    return C.watermarked(disordered(spark, sf), HOUR, "order").where("late").groupBy("topic").agg(F.count(F.lit(1)).alias("late"))
+    left, right = _late_sides(spark, sf)
+    return left.unionByName(right).where(C.join_late(24 * HOUR)).groupBy("topic").agg(F.count(F.lit(1)).alias("late"))
+
+
+@query(f"+ {_LATE} select l.key, l.arrival as l_arrival, r.arrival as r_arrival, l.at_ms as l_ts, r.at_ms as r_ts, greatest(l.at_ms, r.at_ms) - 86400000 as window_start from l join r on l.key = r.key and (r.arrival < l.arrival and r.at_ms between l.at_ms - 86400000 and l.at_ms and r.at_ms >= l.now - 86400000 or l.arrival < r.arrival and l.at_ms between r.at_ms - 86400000 and r.at_ms and l.at_ms >= r.now - 86400000)")
+def stream_join_late(spark, sf):
+    return C.stream_join(*_late_sides(spark, sf), 24 * HOUR)
+
+
+@query(f"+ {_PAIRS} select p.* from p where case when r_arrival < l_arrival then (select count(*) from r where r.key = p.key and r.arrival > p.r_arrival and r.arrival < p.l_arrival) else (select count(*) from l where l.key = p.key and l.arrival > p.l_arrival and l.arrival < p.r_arrival) end < 3")
+def stream_join_bounded_three(spark, sf):
+    return C.stream_join(*_sides(spark, sf), 24 * HOUR, max_buffered=3)
 
 
 @query("select arrival, topic, null::varchar as routed_from from ev union all select arrival, 'alerts', topic from ev where topic = 'events.error' and value > 100 union all select arrival, 'money', topic from ev where topic = 'events.purchase'")
@@ -472,18 +499,45 @@ for _name in ("dedup_idempotent", "dedup_content"):
     _SQL[_name] = _SQL[_name].replace("with ev", "with recursive ev", 1)
 
 
+def fold_sql(rows: str, first: str, then: str, out: str, lets: str = "o.*, d.*") -> str:
+    """A fold in SQL. rows: k, n, arrival and what steps need; first and then: the state after the first and after each
+    further row, the latter over (o.*, d's state, lets); out: what is selected of the states d."""
+    return (f"with recursive {EV}, o as materialized ({rows}), d as (select {first} from o where n = 1 union all select {then} from (select {lets} from d join o on o.k = d.k_ and o.n = d.n_ + 1)) {out}")
+
+
+def _by(key: str, more: str = "") -> str:
+    return f"select {key} as k, row_number() over (partition by {key} order by arrival) as n, arrival, at_ms, topic, key as own{more} from ev"
+
+
+def _bucket_sql(key: str, rate: float, burst: float, cap: str | None = None) -> str:
+    r, b = f"'{rate!r}'::double", f"'{burst!r}'::double"
+    return fold_sql(
+        _by(key), f"k as k_, n as n_, arrival, {b} - 1 as tokens, at_ms as last, true as admitted", "k as k_, n as n_, arrival, t - (t >= 1)::int as tokens, greatest(last, at_ms) as last, t >= 1 as admitted",
+        "select arrival, admitted from d", f"o.*, d.last, least({b}, d.tokens + greatest(o.at_ms - d.last, 0) * {r} / 1000) as t",
+    )
+
+
+def sql_of(name: str, sql: str) -> None:
+    _SQL[name] = sql
+
+
 def _limited(by: str, rate: float, burst: float):
     def f(spark, sf):
-        rows = events(spark, sf).select("topic", "key", "arrival", "at_ms")
-        return ordered_fold(rows, [by], ["arrival"], lambda: folds.TokenBucket(rate, burst), "topic string, key string, arrival long, at_ms long, admitted boolean").select("arrival", "admitted")
+        keys = {"publisher": F.col("key"), "namespace": F.substring("topic", 1, 8), "everything": F.lit(0)}
+        rows = events(spark, sf).select(keys.get(by, F.col(by) if by in ("topic", "key") else None).alias("bucket"), "arrival", "at_ms")
+        return ordered_fold(rows, ["bucket"], ["arrival"], lambda: folds.TokenBucket(rate, burst), "arrival long, admitted boolean")
 
     return f
 
 
-for _by, _rate, _burst in (("topic", 1 / 3600, 5.0), ("key", 1 / 43200, 2.0)):
-    _f = _limited(_by, _rate, _burst)
-    _f.__name__ = f"rate_limit_{_by}"
+for _name, _by_sql, _key, _rate, _burst in (
+    ("topic", "topic", "topic", 1 / 3600, 5.0), ("key", "key", "key", 1 / 43200, 2.0), ("publisher", "key", "publisher", 1 / 86400, 3.0),
+    ("namespace", "substr(topic, 1, 8)", "namespace", 1 / 1800, 4.0), ("global", "1", "everything", 1 / 900, 10.0),
+):
+    _f = _limited(_key, _rate, _burst)
+    _f.__name__ = f"rate_limit_{_name}"
     query()(_f)
+    sql_of(_f.__name__, _bucket_sql(_by_sql, _rate, _burst))
 
 
 @query()
@@ -566,9 +620,9 @@ def lane_order(spark, sf):
     return A.lane_order(_orders(spark, sf), ["customer"]).select("arrival", "lane", F.col("round").cast("long").alias("round"))
 
 
-@query("+ f as (select *, min(arrival) over (partition by topic) as first from ev) select arrival, ceil(seq / 2.0)::bigint as round from f order by round, first, seq limit 500")
+@query("+ f as (select *, min(arrival) over (partition by topic) as first from ev) select arrival, ceil(seq / 2.0)::bigint as round from f")
 def drr_order(spark, sf):
-    return A.fair_order(events(spark, sf), 2).orderBy("round", "first", "rn").limit(500).select("arrival", F.col("round").cast("long").alias("round"))
+    return A.fair_order(events(spark, sf), 2).select("arrival", F.col("round").cast("long").alias("round"))
 
 
 @query("+ b as (select *, topic = 'events.signup' as bar from ev), e as (select *, coalesce(sum(bar::int) over (partition by key order by arrival rows between unbounded preceding and 1 preceding), 0)::bigint as epoch from b) select arrival, epoch from e where not bar")
@@ -639,10 +693,23 @@ def lag_forecast(spark, sf):
     return A.forecast(rows, ["topic"], "t", "lag", 1e7).select("topic", "n", r2("slope", "slope"), r2("r2", "r2"), F.round("eta", 0).alias("eta"))
 
 
-@query("select key, case when max(value) >= 480 and count(*) >= 60 then 'scale_up' when max(value) <= 470 and count(*) <= 65 then 'scale_down' else 'hold' end as signal from ev group by 1")
+@query("""+ p as (select key, case when arg_max(topic, arrival) <> 'events.error' then max(value) end as p99, case when any_value(key)::int % 10 > 0 then min(value) end as wm, case when any_value(key)::int % 7 > 0 then count(*) end as rate from ev group by 1),
+ r as (select key, case when coalesce(p99, wm) is null then 'no-data' when coalesce(p99, wm) > 450 then case when rate is null then 'no-rate-data' when rate >= 64 then 'lag-above-threshold' else 'lag-high-rate-dropping' end
+ when p99 <= 440 and coalesce(wm, 0) <= 440 and rate < 70 then 'drained-idle' else 'lag-normal' end as reason from p) select key, reason, case reason when 'lag-above-threshold' then 'scale_up' when 'drained-idle' then 'scale_down' else 'hold' end as signal from r""")
 def autoscale_signal(spark, sf):
-    per = events(spark, sf).groupBy("key").agg(F.max("value").alias("lag"), F.count(F.lit(1)).alias("rate"))
-    return per.select("key", A.scaling_signal(F.col("lag"), F.col("rate"), 480, 60, 470, 65).alias("signal"))
+    per = events(spark, sf).groupBy("key").agg(F.max("value").alias("m"), F.min("value").alias("w"), F.count(F.lit(1)).alias("n"), F.max_by("topic", "arrival").alias("last"))
+    p99, watermark = F.when(F.col("last") != "events.error", F.col("m")), F.when(F.col("key").cast("int") % 10 > 0, F.col("w"))
+    reason = A.scaling_reason(p99, watermark, F.when(F.col("key").cast("int") % 7 > 0, F.col("n")), 450, 64, 440, 70)
+    return per.select("key", reason.alias("reason"), A.scaling_signal(reason).alias("signal"))
+
+
+@query("select * from (values (1, 'no-data', 'hold'), (2, 'lag-normal', 'hold'), (3, 'no-rate-data', 'hold'), (4, 'lag-above-threshold', 'scale_up'), (5, 'lag-high-rate-dropping', 'hold'), (6, 'drained-idle', 'scale_down'), (7, 'lag-normal', 'hold'), (8, 'lag-normal', 'hold'), (9, 'lag-normal', 'hold'), (10, 'lag-above-threshold', 'scale_up')) t(id, reason, signal)", ev=False)
+def autoscale_boundaries(spark, sf):
+    """Lag at the threshold is normal, a rate at the idle rate isn't idle, a bare watermark counts but never shrinks."""
+    rows = [(1, None, None, 5.0), (2, 1000.0, 0.0, 5.0), (3, 1001.0, 0.0, None), (4, 1001.0, 0.0, 1.0), (5, 1001.0, 0.0, 0.9), (6, 10.0, 10.0, 0.09), (7, 10.0, 10.0, 0.1), (8, 10.0, 11.0, 0.0), (9, None, 5.0, 0.0), (10, None, 1001.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, p99 double, wm double, rate double")
+    reason = A.scaling_reason(F.col("p99"), F.col("wm"), F.col("rate"))
+    return df.select("id", reason.alias("reason"), A.scaling_signal(reason).alias("signal"))
 
 
 _CHECKS = "c as (select substr(topic, 8) as name, case when max(value) > 490 and substr(topic, 8) = 'click' then 'fail' when avg(value) > 0 and topic < 'events.p' then 'warn' else 'ok' end as verdict from ev group by topic)"
@@ -659,9 +726,15 @@ def doctor(spark, sf):
     return A.diagnose(_checks(spark, sf))
 
 
-@query(f"+ {_CHECKS} select name, 'investigate' as action, case verdict when 'fail' then 0 else 1 end as severity from c where verdict <> 'ok'")
+@query("""+ d as (select 0 as reach, 'resume-subscriber' as kind, key as target from ev where topic = 'events.error' group by key having count(*) >= 2 and key::int % 3 <> 0),
+ l as (select 1, 'prune-linger-windows', topic from ev where value > 490 group by topic), s as (select 2, 'rebalance-group', topic from ev group by topic having count(distinct key) < 1000000),
+ p as (select *, row_number() over (order by reach, target) as place from (select * from d union all select * from l union all select * from s)) select kind, target, place from p where place <= 100""")
 def remediation_plan(spark, sf):
-    return A.remediation(_checks(spark, sf)).select(F.col("check").alias("name"), "action", "severity")
+    rows = events(spark, sf)
+    degraded = rows.where("topic = 'events.error'").groupBy(F.col("key").alias("subscriber_id")).agg(F.count(F.lit(1)).alias("consecutive_failures")).where("consecutive_failures >= 2")
+    lingering = rows.groupBy(F.col("topic").alias("group_id")).agg(F.count_if(F.col("value") > 490).alias("expired_windows"))
+    skewed = rows.groupBy(F.col("topic").alias("group_id")).agg(F.count_distinct("key").alias("members")).withColumn("partitions", F.lit(1_000_000))
+    return A.remediation(degraded.withColumn("auto_resume_armed", F.col("subscriber_id").cast("int") % 3 == 0), lingering, skewed, 100)
 
 
 @query("select 'events_total{topic=\"' || topic || '\"} ' || count(*) as line from ev group by topic")
@@ -704,7 +777,7 @@ def partition_rendezvous(spark, sf):
     return keys.select("key", A.rendezvous(keys, "key", ["a", "b", "c"]).alias("member"))
 
 
-@query()
+@query(f"select arrival, case when arrival % 5 = 0 then 3 else {_HASH.format('key')} % 16 end::int as partition from ev")
 def partition_by_key(spark, sf):
     return events(spark, sf).select("arrival", A.partition_of(F.col("key"), 16, F.when(F.col("arrival") % 5 == 0, 3)).alias("partition"))
 
@@ -741,7 +814,7 @@ def tail_sample(spark, sf):
 @query("select depth, count(*) as n from (select case when arrival % 7 = 0 then 0 else arrival % 7 end as depth from ev) group by 1")
 def span_depths(spark, sf):
     spans = events(spark, sf).select(F.floor(F.col("arrival") / 7).alias("trace_id"), F.col("arrival").alias("span_id"), F.when(F.col("arrival") % 7 != 0, F.col("arrival") - 1).alias("parent_id"))
-    return A.span_depths(spans, 8).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+    return A.span_depths(spans).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select k as key, o as old, n as new, case when o is null then 'added' when n is null then 'removed' else 'changed' end as change from (select coalesce(a.key, b.key) as k, a.v as o, b.v as n from (select key, min(value) as v from ev where arrival % 50 <> 1 and key < '3' group by 1) a full join (select key, max(value) as v from ev where key > '12' group by 1) b on a.key = b.key) where o is distinct from n")
@@ -815,9 +888,9 @@ def admission_latency(spark, sf):
     return A.summary(rows, ["topic", "gate"], "ms", "arrival", last=None).orderBy(F.desc("p99"), "topic", "gate").limit(5).select("topic", "gate", "n", r2("p99", "p99"))
 
 
-@query("select topic, count(*) as n, max(greatest(arrival * 13 % 90 - 10, 0))::double as max, quantile_disc(greatest(arrival * 13 % 90 - 10, 0), 0.5)::double as p50 from ev where arrival % 4 = 0 group by 1")
+@query("select topic, count(*) as n, max(greatest(arrival * 13 % 90 - 10, 0))::double as max, quantile_disc(greatest(arrival * 13 % 90 - 10, 0), 0.5)::double as p50 from ev group by 1")
 def schedule_skew(spark, sf):
-    rows = events(spark, sf).where("arrival % 4 = 0").withColumn("skew", F.col("arrival") * 13 % 90 - 10)
+    rows = events(spark, sf).withColumn("skew", F.col("arrival") * 13 % 90 - 10)
     return A.summary(rows, ["topic"], "skew", "arrival", last=None).select("topic", "n", F.col("max").cast("double").alias("max"), F.col("p50").cast("double").alias("p50"))
 
 
@@ -916,7 +989,7 @@ def allowed_lateness(spark, sf):
 @query()
 def circuit_breaker(spark, sf):
     rows = events(spark, sf).select("topic", "arrival", "at_ms", (F.col("value") > 300).alias("degraded"))
-    return ordered_fold(rows, ["topic"], ["arrival"], lambda: folds.CircuitBreaker(3, HOUR), "topic string, arrival long, admitted boolean, state string")
+    return ordered_fold(rows, ["topic"], ["arrival"], lambda: folds.CircuitBreaker(3, 24 * HOUR), "topic string, arrival long, admitted boolean, state string")
 
 
 @query()
@@ -1014,6 +1087,120 @@ def approx_distinct(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
 
 
+# ---- the folds' oracles ----
+sql_of("sliding_limit", fold_sql(
+    _by("topic"), "k as k_, n as n_, arrival, [at_ms] as times, true as ok", "k as k_, n as n_, arrival, case when len(kept) < 10 then list_append(kept, at_ms) else kept end as times, len(kept) < 10 as ok",
+    "select arrival from d where ok", "o.*, list_filter(d.times, lambda x: x >= o.at_ms - 43200000) as kept",
+))
+sql_of("retention_bytes", fold_sql(
+    "select topic as k, row_number() over (partition by topic order by arrival desc) as n, arrival, 1 + arrival * 37 % 101 as bytes from ev", "k as k_, n as n_, arrival, bytes, 5000 - bytes as room, true as kept",
+    "k as k_, n as n_, arrival, bytes, case when bytes <= room then room - bytes else room end as room, bytes <= room as kept", "select arrival, bytes from d where kept", "o.*, d.room",
+))
+sql_of("compare_and_set", fold_sql(
+    "select topic || '/' || key as k, row_number() over (partition by topic, key order by arrival) as n, topic, key, arrival, case when arrival % 3 <> 0 then arrival // 2500 end as expected from ev",
+    "k as k_, n as n_, topic, key, arrival, (expected is null or expected = 0) as applied, (expected is null or expected = 0)::bigint as version",
+    "k as k_, n as n_, topic, key, arrival, (expected is null or expected = was) as applied, was + (expected is null or expected = was)::bigint as version", "select topic, key, arrival, applied, version from d", "o.*, d.version as was",
+))
+sql_of("store_bounded", f"""with {EV}, u as (select topic, key, value, seq, lag(seq) over (partition by topic, key order by seq) as prev from ev),
+ c as (select u.topic, u.key, u.seq, count(distinct x.key) as others from u join ev x on x.topic = u.topic and x.seq > u.prev and x.seq < u.seq group by 1, 2, 3),
+ e as (select u.*, sum((prev is null or coalesce(others, 0) >= 40)::int) over (partition by u.topic, u.key order by u.seq) as life from u left join c using (topic, key, seq)),
+ v as (select topic, key, value, seq, row_number() over (partition by topic, key, life order by seq) as version, row_number() over (partition by topic, key order by seq desc) as back from e)
+ select topic, key, value, seq, version from v where back = 1 qualify row_number() over (partition by topic order by seq desc) <= 40""")
+sql_of("event_time_release", f"""with {EV}, w as (select topic, arrival, at_ms, row_number() over (partition by topic order by arrival + (arrival * 37) % 31, arrival) as i from ev),
+ m as (select *, max(at_ms) over (partition by topic order by i) - 3600000 as mark, max(at_ms) over (partition by topic order by i rows between unbounded preceding and 1 preceding) - 3600000 as before from w),
+ r as (select a.topic, a.arrival, a.at_ms, a.i, case when a.at_ms < a.before then a.i else min(b.i) end as step from m a left join m b on b.topic = a.topic and b.i >= a.i and b.mark >= a.at_ms group by a.topic, a.arrival, a.at_ms, a.i, a.before)
+ select topic, arrival, at_ms as event_time_ms, row_number() over (partition by topic order by step nulls last, at_ms, arrival) as released from r""")
+sql_of("failure_regime", fold_sql(
+    _by("topic", ", (arrival // 1000 % 3 * 3 > arrival * 7919 % 10)::int::double as x"), "k as k_, n as n_, arrival, null::double as mean, 1 as seen, x as total, 0::double as up, 0::double as down, null::varchar as direction, null::double as mean_before, null::double as score",
+    """k as k_, n as n_, arrival, case when mean is null and seen = 49 then (total + x) / 50 when mean is null or up1 > 5 or down1 > 5 then null else mean end as mean, case when mean is null and seen < 49 then seen + 1 else 0 end as seen,
+ case when mean is null and seen < 49 then total + x else 0 end as total, case when mean is null then 0 else up1 end as up, case when mean is null then 0 else down1 end as down,
+ case when mean is null then null when up1 > 5 then 'up' when down1 > 5 then 'down' end as direction, mean as mean_before, case when up1 > 5 then up1 else down1 end as score""",
+    "select k_ as topic, arrival, direction, mean_before, score from d where direction is not null", "o.*, d.mean, d.seen, d.total, greatest(0::double, d.up + o.x - d.mean - 0.05::double / 2) as up1, greatest(0::double, d.down + d.mean - o.x - 0.05::double / 2) as down1",
+))
+sql_of("partition_health", fold_sql(
+    _by("arrival % 4", ", (arrival // 300 % 3 = 0)::int as failed"), "k as k_, n as n_, arrival, [failed] as last, true as healthy, 1 - failed as streak, 0::bigint as since",
+    """k as k_, n as n_, arrival, case when up then [] else last1 end as last, case when down then false when up then true else healthy end as healthy, case when down then 0 else streak1 end as streak, case when down then at_ms else since end as since""",
+    "select k_ as p, arrival, healthy from d",
+    "*, healthy and len(last1) >= 5 and list_sum(last1) >= 0.5 * len(last1) as down, not healthy and streak1 >= 3 and at_ms - since >= 3600000 as up from (select o.*, d.healthy, d.since, list_append(d.last, o.failed)[-20:] as last1, case when o.failed = 1 then 0 else d.streak + 1 end as streak1",
+).replace("and o.n = d.n_ + 1))", "and o.n = d.n_ + 1)))"))
+sql_of("circuit_breaker", fold_sql(
+    _by("topic", ", value > 300 as bad"), "k as k_, n as n_, arrival, bad::int as streak, null::bigint as opened, true as admitted",
+    "k as k_, n as n_, arrival, case when shut then streak when bad then streak + 1 else 0 end as streak, case when shut then opened when bad and (opened is not null or streak + 1 >= 3) then at_ms end as opened, not shut as admitted",
+    "select k_ as topic, arrival, admitted, case when opened is null then 'closed' else 'open' end as state from d", "o.*, d.streak, d.opened, coalesce(o.at_ms - d.opened < 86400000, false) as shut",
+))
+_I, _T = f"'{1 / 7200!r}'::double", f"'{1 / 1800!r}'::double"
+sql_of("slow_start", fold_sql(
+    _by("topic"), f"k as k_, n as n_, arrival, {_I} as tokens, at_ms as began, at_ms as last, false as admitted", "k as k_, n as n_, arrival, t - (t >= 1)::int as tokens, began, greatest(at_ms, last) as last, t >= 1 as admitted", "select k_ as topic, arrival, admitted from d",
+    f"*, least(greatest(1::double, rate), tokens + greatest(0, at_ms - last) * rate / 1000) as t from (select o.*, d.tokens, d.began, d.last, case when o.at_ms - d.began >= 864000000 then {_T} else {_I} + ({_T} - {_I}) * (greatest(0, o.at_ms - d.began)::double / 864000000) end as rate",
+).replace("and o.n = d.n_ + 1))", "and o.n = d.n_ + 1)))"))
+
+
+# ---- delivery to one subscriber ----
+@query("select arrival, seq from ev where seq % 3 = 0")
+def delivery_sample_rate(spark, sf):
+    return log(spark, sf).where(C.delivered_sample(F.col("seq"), 3)).select("arrival", "seq")
+
+
+@query()
+def dedup_subscriber(spark, sf):
+    """A subscriber's window of the last 30 identifiers; every eleventh delivery is a redelivery."""
+    rows = events(spark, sf).select("topic", "message_id", "arrival", "at_ms", (F.col("arrival") % 11 == 0).alias("again"))
+    return ordered_fold(rows, ["topic"], ["arrival"], lambda: folds.Dedup(10**15, max_entries=30, exempt="again"), "topic string, message_id string, arrival long, at_ms long, again boolean, admitted boolean").where("admitted").select("arrival")
+
+
+sql_of("dedup_subscriber", fold_sql(
+    _by("topic", ", message_id as ident, arrival % 11 = 0 as again"), "k as k_, n as n_, arrival, case when again then []::varchar[] else [ident] end as kept, true as admitted",
+    "k as k_, n as n_, arrival, case when again or list_contains(kept, ident) then kept else list_append(kept, ident)[-30:] end as kept, again or not list_contains(kept, ident) as admitted", "select arrival from d where admitted", "o.*, d.kept",
+))
+
+
+@query("""+ s as (select key, arrival, row_number() over (partition by key order by arrival) as key_seq, arrival % 5 = 2 as skipped from ev), t as (select *, arrival + arrival * 37 % 31 * 40 as came, row_number() over (order by arrival + arrival * 37 % 31 * 40, arrival) as place from s)
+ select key, key_seq, max(place) over (partition by key order by key_seq) as released_at from t qualify not skipped""")
+def keyed_reorder(spark, sf):
+    """Deliveries that come out of the order of their keys' numbers; a fifth are filtered and only let others pass."""
+    rows = events(spark, sf).withColumn("key_seq", F.row_number().over(Window.partitionBy("key").orderBy("arrival")).cast("long")).withColumn("came", F.col("arrival") + F.col("arrival") * 37 % 31 * 40)
+    place = rows.select("arrival", F.row_number().over(Window.orderBy("came", "arrival")).cast("long").alias("place"))
+    rows = rows.join(place, "arrival").select("key", "key_seq", F.col("place").alias("arrival"), (F.col("arrival") % 5 == 2).alias("skipped"))
+    return ordered_fold(rows, ["key"], ["arrival"], folds.KeyReorder, "key string, key_seq long, arrival long, released_at long").select("key", "key_seq", "released_at")
+
+
+@query(fold_sql(
+    f"select o_custkey as k, 1 as n, count(*) filter (lane = 'urgent') as u, count(*) filter (lane = 'normal') as m, count(*) filter (lane = 'bulk') as b from (select *, {_LANE_SQL} as lane from orders) group by 1 union all select -1, 0, 0, 0, 0",
+    "k as k_, 0 as n_, u, m, b, 0 as starved, null::varchar as lane", "1", "select 1",
+).split(", d as")[0].split(EV + ", ")[1].join(["with recursive ", """, d as (select k, 0 as n, u, m, b, 0 as starved, null::varchar as lane from o where n = 1 union all
+ select k, n + 1, u - (lane1 = 'urgent')::int, m - (lane1 = 'normal')::int, b - (lane1 = 'bulk')::int, case when b = 0 or lane1 = 'bulk' then 0 else starved + 1 end, lane1 from
+ (select *, case when b > 0 and (u > 0 or m > 0) and starved + 1 >= 3 then 'bulk' when u > 0 then 'urgent' when m > 0 then 'normal' else 'bulk' end as lane1 from d where u + m + b > 0))
+ select k as customer, n as round, lane from d where n > 0"""]), ev=False)
+def lane_drain(spark, sf):
+    """Rounds of one row for each customer, with a guard of three rounds."""
+    rows = _orders(spark, sf).select("customer", "arrival", "lane")
+    return ordered_fold(rows, ["customer"], ["arrival"], lambda: folds.LaneDrain(1, A.LANES, 3), "customer long, arrival long, lane string, round long, place long").select("customer", "round", "lane")
+
+
+@query("select arrival from ev where key || '/' || at_ms // 86400000 = (select min(key || '/' || at_ms // 86400000) from ev) and at_ms >= (select min(at_ms) from ev) order by at_ms desc, arrival desc limit 20")
+def trace_archive(spark, sf):
+    spans = events(spark, sf).withColumn("trace_id", F.concat("key", F.lit("/"), F.floor(F.col("at_ms") / 86_400_000).cast("string")))
+    first, since = spans.agg(F.min("trace_id"), F.min("at_ms")).first()
+    return A.trace_query(spans, first, since=since, limit=20).select("arrival")
+
+
+_ZONES = {"east": ["a", "b"], "north": [], "west": ["c", "d", "e"]}
+
+
+@query("""+ k as (select distinct key from ev), z as (select key, arg_max(z, substr(sha256(key || chr(0) || z), 1, 16)) as zone from k, (values ('east'), ('west')) t(z) group by 1)
+ select key, arg_max(m, substr(sha256(key || chr(0) || m), 1, 16)) as member from z join (values ('east', 'a'), ('east', 'b'), ('west', 'c'), ('west', 'd'), ('west', 'e')) t(zone, m) using (zone) group by 1""")
+def partition_zone_aware(spark, sf):
+    keys = events(spark, sf).select("key").distinct()
+    return keys.select("key", A.zone_aware_member(keys, "key", _ZONES).alias("member"))
+
+
+@query("+ k as (select distinct key from ev) select key, arg_max(m, substr(sha256(key || chr(0) || m), 1, 16)) as member from k, (values ('b'), ('c')) t(m) group by 1")
+def partition_lag_aware(spark, sf):
+    """a lags most, d has no sample and counts as it does, b and c lag alike."""
+    keys = events(spark, sf).select("key").distinct()
+    return keys.select("key", A.lag_aware_member(keys, "key", ["a", "b", "c", "d"], {"a": 9.0, "b": 2.0, "c": 2.0}).alias("member"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import new_dir
+
 
 def stream_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], object], schema: str) -> DataFrame:
     """As ordered_fold, over a stream whose order within a key agrees with that of its micro-batches."""
@@ -44,12 +44,8 @@ def stream_pairs(left: DataFrame, right: DataFrame, within: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, what: str) -> DataFrame:
-    """Run a stream over all there is, into files of the shared folder with its checkpoint beside them, and read those.
-
-    spark.checkpoint.dir names the shared folder; one of our own is used only where it is unset.
-    """
+    """Run a stream over all there is, into files of the shared folder with its checkpoint beside them, and read those."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
-    path = f"{base.rstrip('/')}/tidelog/{what}-{uuid.uuid4().hex}"
+    path = new_dir(spark, what)
     stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
