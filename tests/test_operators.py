@@ -138,3 +138,62 @@ def test_plans_stay_lean(spark):
     plan = catalog.flagship(spark, sf)._jdf.queryExecution().toString()
     assert "GreaterThan(value,50.0)" in plan.split("PushedFilters")[-1]
     assert "props" not in plan.split("ReadSchema")[-1]
+
+
+def test_blocked_windows(spark):
+    """Running values and neighbours by blocks are those of a window, whatever the width, null keys and values included."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidelog.operators.blocked import beside, numbered, running
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), k * rnd.choice([1, 3]) * 1000 + k, rnd.choice([None, rnd.randint(-50, 50)])) for k in range(400)]
+    df = spark.createDataFrame(rows, "topic string, o long, v long").repartition(3)
+    up, back = Window.partitionBy("topic").orderBy("o"), Window.partitionBy("topic").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("topic", "o", F.row_number().over(up).alias("n"), F.max("v").over(back).alias("m"), F.coalesce(F.sum("v").over(up.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("s"), F.lag("v").over(up).alias("p"), F.lead("v").over(up).alias("q"))
+    for width in (1, 5_000, 1 << 40):
+        got = numbered(df, ["topic"], ["o"], "n", width)
+        got = running(got, ["topic"], ["o"], width, before=True, m=("max", F.col("v")))
+        got = running(got, ["topic"], ["o"], width, s=("sum", F.col("v")))
+        got = beside(beside(got, ["topic"], ["o"], "p", F.col("v"), width), ["topic"], ["o"], "q", F.col("v"), width, following=True)
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_no_task_sorts_a_topic(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    from tidelog.plans import catalog
+
+    queries = catalog.queries()
+    for name in ("watermark_late", "watermark_idle", "topic_fork", "topic_merge", "topic_split", "replay_range_key", "seq_gaps", "barrier_epochs", "micro_batches", "lag_slo_runs", "lag_threshold_edges", "partition_round_robin", "audit_chain_verify", "drr_order"):
+        plan = queries[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if " Window " in f" {line.strip(' +-:|')} " and "Window [" in line]
+        assert windows and all("_block" in line for line in windows), name
+
+
+def test_span_depths(spark):
+    from tidelog.operators.analytics import span_depths
+
+    rows = [(1, k, k - 1 if k else None) for k in range(40)] + [(2, 0, None), (2, 1, 0), (2, 2, 0), (2, 3, 9), (2, 4, 5), (2, 5, 4), (2, 6, 5), (3, 1, 1)]
+    df = spark.createDataFrame(rows, "trace_id long, span_id long, parent_id long")
+    got = {(r.trace_id, r.span_id): r.depth for r in span_depths(df).collect()}
+    assert got == {(1, k): k for k in range(40)} | {(2, 0): 0, (2, 1): 1, (2, 2): 1}
+
+
+def test_lane_drain_and_reorder():
+    from tidelog.operators import folds
+
+    drain = folds.LaneDrain(8, {"urgent": 8, "normal": 2, "bulk": 1}, 3)
+    for k, lane in enumerate(["urgent"] * 40 + ["bulk"] * 3 + ["normal"] * 2):
+        drain.step({"lane": lane, "arrival": k})
+    out = drain.finish()
+    rounds = [[r["lane"] for r in out if r["round"] == n] for n in range(1, 8)]
+    assert rounds[:2] == [["urgent"] * 8] * 2 and rounds[2] == ["bulk"] + ["urgent"] * 7 and rounds[5] == ["bulk", "urgent", "normal", "normal", "bulk"]
+    fold, got = folds.KeyReorder(), []
+    for seq, skipped in ((3, False), (1, True), (5, False), (2, False), (4, False), (2, False)):
+        got.append([r["key_seq"] for r in fold.step({"key": "k", "key_seq": seq, "arrival": seq, "skipped": skipped})])
+    assert got == [[], [], [], [2, 3], [4, 5], [2]]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_hash
 from ..sources.shared import written
+from .blocked import beside, numbered, running
 
 # ---- order of delivery ----
 
@@ -39,19 +40,18 @@ def lane_order(df: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def fair_order(df: DataFrame, weight: int = 1) -> DataFrame:
     """Deficit round robin over topics in order of first appearance: `round` and `first`."""
-    w = Window.partitionBy("topic")
-    return df.withColumn("first", F.min("arrival").over(w)).withColumn("rn", F.row_number().over(w.orderBy("arrival"))).withColumn("round", F.ceil(F.col("rn") / weight))
+    first = df.groupBy("topic").agg(F.min("arrival").alias("first"))
+    return numbered(df, ["topic"], ["arrival"], "rn").join(first, "topic").withColumn("round", F.ceil(F.col("rn") / weight))
 
 
 def barrier_epochs(df: DataFrame, is_barrier: Column, by: list[str]) -> DataFrame:
     """The number of the last barrier before each row; barriers themselves drop out."""
     marked = df.withColumn("_b", is_barrier)
-    epoch = F.sum(F.col("_b").cast("int")).over(Window.partitionBy(*by).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    return marked.withColumn("epoch", F.coalesce(epoch, F.lit(0)).cast("long")).where(~F.col("_b")).drop("_b")
+    return running(marked, by, ["arrival"], before=True, epoch=("sum", F.col("_b").cast("long"))).where(~F.col("_b")).drop("_b")
 
 
 def micro_batches(df: DataFrame, size: int, by: list[str]) -> DataFrame:
-    return df.withColumn("batch", F.ceil(F.row_number().over(Window.partitionBy(*by).orderBy("arrival")) / size))
+    return numbered(df, by, ["arrival"], "batch").withColumn("batch", F.ceil(F.col("batch") / size))
 
 
 def bounded_queue(df: DataFrame, capacity: int, policy: str, by: list[str]) -> DataFrame:
@@ -103,15 +103,15 @@ def group_lag(assigned: DataFrame, committed: DataFrame, by: list[str], threshol
 
 def runs(df: DataFrame, by: list[str], order: str, when: Column) -> DataFrame:
     """Adds run: how many rows up to this one, in a row, meet the condition."""
-    w = Window.partitionBy(*by).orderBy(order)
-    marked = df.withColumn("_ok", when).withColumn("_g", F.sum(F.when(when, 0).otherwise(1)).over(w))
-    return marked.withColumn("run", F.when(F.col("_ok"), F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(*by, "_g").orderBy(order))).otherwise(0).cast("long")).drop("_ok", "_g")
+    rows = numbered(df.withColumn("_ok", when), by, [order], "_n")
+    rows = running(rows, by, [order], _last=("max", F.when(~F.col("_ok"), F.col("_n"))))
+    return rows.withColumn("run", F.col("_n") - F.coalesce("_last", F.lit(0))).drop("_ok", "_n", "_last")
 
 
 def edges(df: DataFrame, by: list[str], order: str, when: Column) -> DataFrame:
     """Rows at which a condition becomes true."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("_c", when).withColumn("_p", F.coalesce(F.lag("_c").over(w), F.lit(False))).where("_c and not _p").drop("_c", "_p")
+    rows = beside(df.withColumn("_c", when), by, [order], "_p", F.col("_c"))
+    return rows.where(F.col("_c") & ~F.coalesce("_p", F.lit(False))).drop("_c", "_p")
 
 
 def forecast(df: DataFrame, by: list[str], t: str, lag: str, limit: float, last: int = 64, least: int = 4) -> DataFrame:
@@ -243,8 +243,8 @@ def sticky(items: list[str], members: list[str], previous: dict[str, str], weigh
 
 
 def round_robin(df: DataFrame, members: list[str], by: list[str]) -> DataFrame:
-    place = F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy("arrival")) - 1, F.lit(len(members)))
-    return df.withColumn("member", F.element_at(F.array(*map(F.lit, members)), place + 1))
+    place = F.pmod(F.col("_n") - 1, F.lit(len(members))).cast("int")
+    return numbered(df, by, ["arrival"], "_n").withColumn("member", F.element_at(F.array(*map(F.lit, members)), place + 1)).drop("_n")
 
 
 def partition_of(key: Column, n: int, explicit: Column | None = None) -> Column:
@@ -262,14 +262,14 @@ GENESIS = "0" * 64
 def chain(df: DataFrame, by: list[str], order: str, body: Column) -> DataFrame:
     """Adds content_hash, and prev_hash, the hash of the row before."""
     out = df.withColumn("content_hash", F.sha2(body, 256))
-    return out.withColumn("prev_hash", F.coalesce(F.lag("content_hash").over(Window.partitionBy(*by).orderBy(order)), F.lit(GENESIS)))
+    return beside(out, by, [order], "prev_hash", F.col("content_hash")).withColumn("prev_hash", F.coalesce("prev_hash", F.lit(GENESIS)))
 
 
 def verify_chain(df: DataFrame, by: list[str], order: str, body: Column) -> DataFrame:
     """For each chain its rows and the index of the first that is broken: by content first, then by its link."""
-    w = Window.partitionBy(*by).orderBy(order)
-    link = F.col("prev_hash") == F.coalesce(F.lag("content_hash").over(w), F.lit(GENESIS))
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_why", F.when(F.sha2(body, 256) != F.col("content_hash"), "content").when(~link, "link"))
+    rows = numbered(beside(df, by, [order], "_link", F.col("content_hash")), by, [order], "_i").withColumn("_i", F.col("_i") - 1)
+    link = F.col("prev_hash") == F.coalesce("_link", F.lit(GENESIS))
+    rows = rows.withColumn("_why", F.when(F.sha2(body, 256) != F.col("content_hash"), "content").when(~link, "link"))
     first = F.min(F.when(F.col("_why").isNotNull(), F.struct("_i", "_why")))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), first.alias("b")).select(*by, "n", F.col("b._i").cast("long").alias("broken_at"), F.col("b._why").alias("reason"))
 

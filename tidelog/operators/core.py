@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import topic_matches
 from ..functions.scalars import stable_hash
+from ..sources.events import BLOCK
+from .blocked import beside, numbered, running
+
+#: Milliseconds of two merged topics that are numbered together.
+MERGE_MS = 600_000
 
 # ---- scans ----
 
@@ -43,8 +48,8 @@ def replay_range(log: DataFrame, topic: str, first: int, last: int, key: str | N
     """Rows first to last, both included, with the pause before each when replayed at `speed`."""
     rows = log.where((F.col("topic") == topic) & F.col("seq").between(first, last))
     rows = rows if key is None else rows.where(F.col("key") == key)
-    gap = F.col("at_ms") - F.lag("at_ms").over(Window.partitionBy("topic").orderBy("seq"))
-    return rows.withColumn("wait_ms", F.coalesce(gap / speed, F.lit(0.0)))
+    rows = beside(rows, ["topic"], ["seq"], "_before", F.col("at_ms"))
+    return rows.withColumn("wait_ms", F.coalesce((F.col("at_ms") - F.col("_before")) / speed, F.lit(0.0))).drop("_before")
 
 
 def gap_repair(log: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -53,8 +58,8 @@ def gap_repair(log: DataFrame, delivered: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(delivered: DataFrame, by: list[str]) -> DataFrame:
-    gap = F.col("seq") - F.lag("seq").over(Window.partitionBy(*by).orderBy("seq")) - 1
-    return delivered.withColumn("missing", gap).where("missing > 0")
+    rows = beside(delivered, by, ["seq"], "_before", F.col("seq"))
+    return rows.withColumn("missing", F.col("seq") - F.col("_before") - 1).where("missing > 0").drop("_before")
 
 
 def outbox_lag(outbox: DataFrame, cursor: int, now_ms: int) -> DataFrame:
@@ -242,17 +247,16 @@ def sessions(df: DataFrame, gap_ms: int, kind: str = "count", by: list[str] = ("
     return numbered.groupBy(*by, "session").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), _counted(kind, value).alias("count"), fold_of(kind, value).alias("value")).drop("session").where("count > 0")
 
 
-def watermarked(df: DataFrame, lateness_ms: int, order: str = "arrival", t: str = "event_time_ms") -> DataFrame:
-    """Adds the watermark before each row and whether the row is late; late rows stay."""
-    before = Window.partitionBy("topic").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(t).over(before) - lateness_ms
-    return df.withColumn("watermark", mark).withColumn("late", F.coalesce(F.col(t) < mark, F.lit(False)))
+def watermarked(df: DataFrame, lateness_ms: int, order: str = "arrival", t: str = "event_time_ms", width: int = BLOCK) -> DataFrame:
+    """Adds the watermark before each row and whether the row is late; late rows stay. width: a block's, in units of order."""
+    rows = running(df, ["topic"], [order], width, before=True, watermark=("max", F.col(t) - lateness_ms))
+    return rows.withColumn("late", F.coalesce(F.col(t) < F.col("watermark"), F.lit(False)))
 
 
 def idle_advances(df: DataFrame, idle_ms: int) -> DataFrame:
     """One row for each silence of idle_ms or more after a timed row."""
-    nxt = F.lead("at_ms").over(Window.partitionBy("topic").orderBy("arrival"))
-    return df.withColumn("next_at_ms", nxt).where(F.col("event_time_ms").isNotNull() & (F.col("next_at_ms") - F.col("at_ms") >= idle_ms))
+    rows = beside(df, ["topic"], ["arrival"], "next_at_ms", F.col("at_ms"), following=True)
+    return rows.where(F.col("event_time_ms").isNotNull() & (F.col("next_at_ms") - F.col("at_ms") >= idle_ms))
 
 
 # ---- joins ----
@@ -332,8 +336,8 @@ def correlate(requests: DataFrame, replies: DataFrame, timeout_ms: int) -> DataF
 # ---- topic algebra ----
 
 
-def _renumbered(df: DataFrame, order: list) -> DataFrame:
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy("topic", "partition").orderBy(*order)).cast("long"))
+def _renumbered(df: DataFrame, order: list[str], width: int = BLOCK) -> DataFrame:
+    return numbered(df.drop("seq"), ["topic", "partition"], order, "seq", width)
 
 
 def fork(log: DataFrame, src: str, dst: str, from_seq: int | None = None, from_time: int | None = None, keyed_latest: bool = False) -> DataFrame:
@@ -348,7 +352,7 @@ def fork(log: DataFrame, src: str, dst: str, from_seq: int | None = None, from_t
 def merge(log: DataFrame, a: str, b: str, dst: str) -> DataFrame:
     """Two topics as one, by time; at equal times the first source goes first."""
     rows = log.where(F.col("topic").isin(a, b)).withColumn("source", F.col("topic")).withColumn("_k", F.when(F.col("topic") == a, 0).otherwise(1))
-    return _renumbered(rows.withColumn("topic", F.lit(dst)).withColumn("old_seq", F.col("seq")), ["at_ms", "_k", "old_seq"]).drop("_k")
+    return _renumbered(rows.withColumn("topic", F.lit(dst)).withColumn("old_seq", F.col("seq")), ["at_ms", "_k", "old_seq"], MERGE_MS).drop("_k")
 
 
 def split(log: DataFrame, src: str, predicate: Column, yes: str, no: str) -> DataFrame:

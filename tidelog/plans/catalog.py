@@ -363,7 +363,7 @@ _DIS = "+ d as (select *, (arrival + (arrival * 37) % 31) * 100000000 + arrival
 
 @query(_DIS + "select arrival, topic, wm as watermark, coalesce(at_ms < wm, false) as late from w")
 def watermark_late(spark, sf):
-    return C.watermarked(disordered(spark, sf), HOUR, "order").select("arrival", "topic", "watermark", "late")
+    return C.watermarked(disordered(spark, sf), HOUR, "order", width=100_000_000 << 20).select("arrival", "topic", "watermark", "late")
 
 
 @query("+ i as (select *, lead(at_ms) over (partition by topic order by arrival) as next_at_ms from ev) select arrival, topic, next_at_ms from i where next_at_ms - at_ms >= 3600000")
