@@ -197,3 +197,15 @@ def test_lane_drain_and_reorder():
     for seq, skipped in ((3, False), (1, True), (5, False), (2, False), (4, False), (2, False)):
         got.append([r["key_seq"] for r in fold.step({"key": "k", "key_seq": seq, "arrival": seq, "skipped": skipped})])
     assert got == [[], [], [], [2, 3], [4, 5], [2]]
+
+
+def test_sketches_are_near(spark):
+    """Approximate quantiles and distinct counts against exact ones."""
+    from pyspark.sql import functions as F
+
+    rows = [((k * 7919) % 20_011 / 3.0, k % 4_000) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "v double, k long")
+    got = df.agg(F.percentile_approx("v", [0.5, 0.95, 0.99], 1000).alias("q"), F.approx_count_distinct("k").alias("n")).first()
+    exact = sorted(v for v, _ in rows)
+    assert all(abs(q - exact[int(p * len(exact))]) <= 0.002 * exact[-1] for q, p in zip(got.q, (0.5, 0.95, 0.99), strict=True))
+    assert abs(got.n - 4_000) <= 0.15 * 4_000

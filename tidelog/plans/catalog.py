@@ -1008,7 +1008,7 @@ def sessions_bounded(spark, sf):
 def _stream(spark, sf):
     """events.parquet as a stream of the canonical relation; its few columns are read from the file's own schema."""
     raw = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return raw.select(F.concat(F.lit("events."), "event_type").alias("topic"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("ts"), scalars.millis("ts").alias("at_ms"), F.get_json_object("props", "$.k").alias("message_id"))
+    return raw.select(F.concat(F.lit("events."), "event_type").alias("topic"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("ts"), scalars.millis("ts").alias("at_ms"), F.col("user_id").cast("string").alias("key"), F.get_json_object("props", "$.k").alias("message_id"))
 
 
 @query("+ w as (select topic, at_ms // 21600000 * 21600000 as window_start, count(*) as count from ev group by 1, 2) select * from w where window_start + 21600000 <= (select max(at_ms) - 3600000 from ev)")
@@ -1029,6 +1029,35 @@ def stream_dedup(spark, sf):
 _SQL["stream_dedup"] = _SQL["dedup_idempotent"]
 
 
+@query()
+def stream_rate_limit(spark, sf):
+    """The fold of rate_limit_topic with its state kept by the stream."""
+    rows = _stream(spark, sf).select("topic", "arrival", "at_ms")
+    got = stateful.stream_fold(rows, ["topic"], ["arrival"], lambda: folds.TokenBucket(1 / 3600, 5.0), "topic string, arrival long, at_ms long, admitted boolean")
+    return stateful.run_available(got, "stream-rate-limit").select("arrival", "admitted")
+
+
+@query()
+def stream_cep(spark, sf):
+    """The fold of cep_two_step with its state kept by the stream."""
+    met = F.array_compact(F.array(F.when(F.col("topic") == "events.view", "a"), F.when(F.col("topic") == "events.purchase", "b")))
+    rows = _stream(spark, sf).select("key", "arrival", "at_ms", met.alias("steps")).where("size(steps) > 0")
+    got = stateful.stream_fold(rows, ["key"], ["arrival"], lambda: folds.Sequence([("a", None), ("b", None)], 24 * HOUR), "key string, start_ms long, at_ms long, duration_ms long, events array<long>")
+    out = stateful.run_available(got, "stream-cep")
+    return out.select("key", "start_ms", "at_ms", "duration_ms", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
+
+
+_SQL["stream_cep"] = _SQL["cep_two_step"]
+
+
+@query("select l.key, l.arrival as l_arrival, r.arrival as r_arrival from ev l join ev r on l.key = r.key and l.topic = 'events.view' and r.topic = 'events.purchase' join events a on a.event_id = l.arrival join events b on b.event_id = r.arrival and b.ts >= a.ts and b.ts <= a.ts + interval 6 hours")
+def stream_pairs(spark, sf):
+    """A join of two streams within six hours."""
+    left, right = (_stream(spark, sf).where(f"topic = 'events.{t}'").select("key", "arrival", "ts") for t in ("view", "purchase"))
+    got = stateful.stream_pairs(left, right, "6 hours")
+    return stateful.run_available(got, "stream-pairs").select(F.col("l_key").alias("key"), "l_arrival", "r_arrival")
+
+
 # ---- relational ----
 _JOINS = {"inner": "select c_custkey as id, count(*) as n, round(sum(o_totalprice), 2) as total from customer join orders on o_custkey = c_custkey group by 1", "left": "select c_custkey as id, count(o_orderkey) as n, round(coalesce(sum(o_totalprice), 0), 2) as total from customer left join orders on o_custkey = c_custkey group by 1", "left_semi": "select c_custkey as id from customer where exists (select 1 from orders where o_custkey = c_custkey)", "left_anti": "select c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey)"}
 
@@ -1135,6 +1164,9 @@ sql_of("slow_start", fold_sql(
 ).replace("and o.n = d.n_ + 1))", "and o.n = d.n_ + 1)))"))
 
 
+_SQL["stream_rate_limit"] = _SQL["rate_limit_topic"]
+
+
 # ---- delivery to one subscriber ----
 @query("select arrival, seq from ev where seq % 3 = 0")
 def delivery_sample_rate(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable
         rows = pd.concat(list(frames), ignore_index=True).sort_values(order)
         got = []
         for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            got += fold.step(row)
+            got += fold.step({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in row.items()})
         state.update((pickle.dumps(vars(fold)),))
         yield pd.DataFrame(got, columns=out.names) if got else pd.DataFrame(columns=out.names)
 
