@@ -53,6 +53,11 @@ def field_paths(value) -> list[str]:
     return sorted(found)
 
 
+def path_drift(old: Column, new: Column) -> Column:
+    """Paths that a payload's shape has gained and lost, each sorted."""
+    return F.struct(F.array_sort(F.array_except(new, old)).alias("added"), F.array_sort(F.array_except(old, new)).alias("removed"))
+
+
 def fingerprint(paths: list[str]) -> str:
     """FNV-1a over the paths, each closed by 0xff, as eight hexadecimal digits."""
     h = FNV_OFFSET

@@ -29,6 +29,11 @@ def edf_order(df: DataFrame) -> list[Column]:
     return [lane_number(F.col("lane")), F.asc_nulls_last("deadline_ms"), F.col("arrival")]
 
 
+def missed_deadline(deadline: Column, handoff: Column) -> Column:
+    """Whether a row was handed over at its deadline or later; such rows are delivered all the same."""
+    return F.coalesce(deadline <= handoff, F.lit(False))
+
+
 def lane_order(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Rounds of 8 urgent, 2 normal and 1 bulk row: `round` and the place within it."""
     rn = F.row_number().over(Window.partitionBy(*by, "lane").orderBy("arrival"))
@@ -44,6 +49,11 @@ def fair_order(df: DataFrame, weight: int = 1) -> DataFrame:
     return numbered(df, ["topic"], ["arrival"], "rn").join(first, "topic").withColumn("round", F.ceil(F.col("rn") / weight))
 
 
+def fair_budget(df: DataFrame, budget: int, weight: int = 1) -> DataFrame:
+    """What deficit round robin hands over with a budget of so many rows."""
+    return fair_order(df, weight).orderBy("round", "first", "rn").limit(budget)
+
+
 def barrier_epochs(df: DataFrame, is_barrier: Column, by: list[str]) -> DataFrame:
     """The number of the last barrier before each row; barriers themselves drop out."""
     marked = df.withColumn("_b", is_barrier)

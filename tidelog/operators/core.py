@@ -22,6 +22,18 @@ def since_seq(log: DataFrame, topic: str, cursor: int) -> DataFrame:
     return log.where((F.col("topic") == topic) & (F.col("seq") > cursor))
 
 
+def seek(log: DataFrame, topic: str, cursor: int | None = None, reset: str = "earliest") -> DataFrame:
+    """Rows of a topic behind a stored cursor. Without one, or with one past the end, reset says where to begin: with
+    all that is kept (earliest), or behind it (latest)."""
+    if reset not in ("earliest", "latest"):
+        raise ValueError("reset is earliest or latest")
+    rows = log.where(F.col("topic") == topic)
+    end = rows.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_end"))  # one row, met in the plan
+    begin = F.lit(0) if reset == "earliest" else F.col("_end")
+    start = begin if cursor is None else F.when(F.col("_end") < cursor, begin).otherwise(cursor)
+    return rows.join(F.broadcast(end.select(start.alias("_from"))), F.col("seq") > F.col("_from")).drop("_from")
+
+
 def since_time(log: DataFrame, topic: str, at_ms: int) -> DataFrame:
     return log.where((F.col("topic") == topic) & (F.col("at_ms") > at_ms))
 
@@ -66,6 +78,16 @@ def outbox_lag(outbox: DataFrame, cursor: int, now_ms: int) -> DataFrame:
     return outbox.where(F.col("seq") > cursor).agg(F.count(F.lit(1)).alias("pending"), (F.lit(now_ms) - F.min("at_ms")).alias("oldest_ms"))
 
 
+def outbox_read(outbox: DataFrame, cursor: int, limit: int) -> DataFrame:
+    """The first rows that the cursor has not acknowledged, in order."""
+    return outbox.where(F.col("seq") > cursor).orderBy("seq").limit(limit)
+
+
+def acknowledge(cursor: Column, acked: Column) -> Column:
+    """The cursor after an acknowledgement: it never goes back."""
+    return F.greatest(cursor, acked)
+
+
 def due(delayed: DataFrame, now_ms: int) -> DataFrame:
     """Delayed rows that may be delivered, by due time and then by order of scheduling."""
     return delayed.where(F.col("deliver_at") <= now_ms).orderBy("deliver_at", "arrival")

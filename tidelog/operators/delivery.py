@@ -91,6 +91,13 @@ def lag_watermark(queue: DataFrame, delivered: DataFrame, by: list[str], now_ms:
     return waiting.groupBy(*by).agg(F.count(F.lit(1)).alias("depth"), F.greatest(F.lit(now_ms) - F.min("at_ms"), F.lit(0)).alias("lag_ms"))
 
 
+def dwell(delivered: DataFrame, by: list[str], since_ms: int) -> DataFrame:
+    """How long rows delivered since then had waited: number, median, 95th and 99th percentile and maximum."""
+    rows = delivered.where(F.col("delivered_ms") >= since_ms).withColumn("_w", F.greatest(F.col("delivered_ms") - F.col("at_ms"), F.lit(0)))
+    at = lambda p: F.expr(f"cast(percentile_disc({p}) within group (order by _w) as double)")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("_w").alias("max"))
+
+
 def drops(journal: DataFrame, n: int, **only: str) -> DataFrame:
     """The last n entries of a drop journal with the given topic, subscriber or reason, oldest first."""
     rows = journal

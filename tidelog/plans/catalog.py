@@ -1233,6 +1233,53 @@ def partition_lag_aware(spark, sf):
     return keys.select("key", A.lag_aware_member(keys, "key", ["a", "b", "c", "d"], {"a": 9.0, "b": 2.0, "c": 2.0}).alias("member"))
 
 
+# ---- cursors, shapes and waits ----
+@query("""+ e as (select topic, arrival, seq from ev where topic = 'events.click') select 'stored' as how, arrival from e where seq > 100 union all select 'past the end', arrival from e union all select 'none', arrival from e""")
+def seek_reset(spark, sf):
+    """A cursor that counts; one past the end and none at all begin anew; with latest the same two find nothing."""
+    rows, out = log(spark, sf), None
+    for how, cursor, reset in (("stored", 100, "latest"), ("past the end", 10**12, "earliest"), ("none", None, "earliest"), ("past the end, latest", 10**12, "latest"), ("none, latest", None, "latest")):
+        part = C.seek(rows, "events.click", cursor, reset).select(F.lit(how).alias("how"), "arrival")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("select arrival, seq, greatest(300, seq) as cursor from ev where topic = 'events.purchase' and seq > 300 order by seq limit 40")
+def outbox_read(spark, sf):
+    return C.outbox_read(log(spark, sf).where("topic = 'events.purchase'"), 300, 40).select("arrival", "seq", C.acknowledge(F.lit(300), F.col("seq")).alias("cursor"))
+
+
+@query("select o_orderkey as id from orders join customer on c_custkey = o_custkey where regexp_matches(c_mktsegment, '^(AUTO|MACH)') and regexp_matches(o_orderpriority, '[35]-')", ev=False)
+def header_regex(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.withColumn("headers", F.create_map(F.lit("tenant"), "c_mktsegment", F.lit("p"), "o_orderpriority"))
+    return rows.where(filterexpr.header_filter([("tenant", "regex", "^(AUTO|MACH)"), ("p", "regex", "[35]-")])).select(F.col("o_orderkey").alias("id"))
+
+
+@query("select o_orderkey as arrival, coalesce(case when o_orderkey % 3 = 0 then o_orderkey * 7919 % 100003 end <= o_orderkey * 31 % 100003, false) as missed from orders", ev=False)
+def edf_missed(spark, sf):
+    return _orders(spark, sf).select("arrival", A.missed_deadline(F.col("deadline_ms"), F.col("arrival") * 31 % 100_003).alias("missed"))
+
+
+@query("+ f as (select *, min(arrival) over (partition by topic) as first from ev) select arrival from f order by ceil(seq / 3.0), first, seq limit 200")
+def drr_budget(spark, sf):
+    return A.fair_budget(events(spark, sf), 200, 3).select("arrival")
+
+
+@query("select topic, count(*) as n, quantile_disc(arrival * 13 % 997, 0.5)::double as p50, quantile_disc(arrival * 13 % 997, 0.95)::double as p95, quantile_disc(arrival * 13 % 997, 0.99)::double as p99, max(arrival * 13 % 997) as max from ev where at_ms + arrival * 13 % 997 >= (select min(at_ms) + 86400000 from ev) group by 1")
+def dwell_percentiles(spark, sf):
+    rows = events(spark, sf)
+    first = rows.agg(F.min("at_ms")).first()[0]
+    return D.dwell(rows.withColumn("delivered_ms", F.col("at_ms") + F.col("arrival") * 13 % 997), ["topic"], first + 86_400_000)
+
+
+@query("select arrival, case arrival % 3 when 0 then 'c' when 1 then '' else 'c,d' end as added, case arrival % 3 when 0 then '' when 1 then 'b' else 'a,b' end as removed from ev")
+def fingerprint_drift(spark, sf):
+    new = F.element_at(F.array(F.array(*map(F.lit, "abc")), F.array(F.lit("a")), F.array(*map(F.lit, "dc"))), (F.col("arrival") % 3 + 1).cast("int"))
+    drift = scalars.path_drift(F.array(F.lit("b"), F.lit("a")), new)
+    return events(spark, sf).select("arrival", F.array_join(drift["added"], ",").alias("added"), F.array_join(drift["removed"], ",").alias("removed"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
