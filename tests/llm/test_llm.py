@@ -633,6 +633,30 @@ def test_toxicity_workers_need_no_package(spark, tmp_path):
     subprocess.run([sys.executable, "-c", "import pickle; pickle.load(open('block', 'rb'))"], cwd=tmp_path, check=True, env={"PATH": ""})
 
 
+def test_long_texts(spark, library):
+    """A text of one word 5 MB long, one of one word over and over, and one of 20 MB, through each operator on texts."""
+    rnd = random.Random(12)
+    prose = " ".join(rnd.choice(WORDS) + str(rnd.randint(0, 900)) for _ in range(20_000))
+    rows = [(1, "x" * 5_000_000), (2, "same " * 1_000_000), (3, f"{prose} " * 130), (4, "short one")]
+    assert len(rows[2][1].encode()) > 15_000_000
+    texts, docs = dict(rows), spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    n_ids = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert {i: r.n_tokens for i, r in by_id(token_counts.count_tokens(spark, docs, queries.tokenizer_path(), new_dir(spark, "cache"))).items()} == n_ids
+    assert {i: r.n_tokens for i, r in by_id(queries.digested(bpe.encode_decode(docs, queries.tokenizer_path()))).items()} == n_ids
+    train, labels = toxic_rows(200)
+    model = toxicity.learn(spark, spark.createDataFrame(train, "doc_id long, text string").union(docs), spark.createDataFrame([*labels, (10_002, 0)], "doc_id long, toxic int"))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(spark, docs, model).collect())
+    assert {i: r.size for i, r in by_id(sharding.shard(docs, 3)).items()} == {i: len(t.encode()) + 16 for i, t in rows}
+    assert {i: r.text_sha256 for i, r in by_id(exact_dedup.exact_groups(docs)).items()} == {i: sha(t.encode()) for i, t in rows}
+    assert {i: (r.n_words, r.n_removed) for i, r in by_id(substring_dedup.remove_repeats(spark, docs)).items()} == {i: (len(t.split()), 0) for i, t in rows}
+    item = spark.createDataFrame([(0, prose[:2000]), (1, "same same same")], "item_id long, text string")
+    found = by_id(decontamination.contamination(spark, docs, item))
+    assert (found[1].n_hit, found[2].n_hit, found[4].n_hit) == (0, 1_000_000, 0) and found[3].n_hit >= 130 * 100 and list(found[3].items) == [0]
+    near = by_id(simhash.near_duplicates(spark, docs))
+    assert near[1].fingerprint == f"{fingerprint(texts[1]):016x}" and near[2].fingerprint == f"{fingerprint('same same same same'):016x}"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
