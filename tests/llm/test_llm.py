@@ -620,6 +620,31 @@ def test_toxicity(spark, empty, block):
         assert toxicity.score(spark, docs, one_class).where("predicted = 1").count() == 0
 
 
+def test_toxicity_keeps_all_pairs(spark, monkeypatch):
+    """More pairs and contexts than are broadcast at once: each keeps its count, and further passes score the rest."""
+    rnd = random.Random(17)
+    words = [f"w{k}" for k in range(16)]
+    rows = [(i, " ".join(rnd.choices(words, [1 / (k + 1 + 3 * (i % 4 == 0) * (k % 2)) for k in range(16)], k=90))) for i in range(160)]
+    truth = {i: int(i % 4 == 0) for i, _ in rows}
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 30.0)
+    gain = kneser_ney(rows, truth)
+    monkeypatch.setattr(toxicity, "MOST_EXPRESSIONS", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(spark, docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"))
+    pairs = model.expressions.count()
+    assert pairs > 8
+    places = [b[0] for b in model.blocks(1000)]
+    n, _, m, _ = places[0]
+    assert n > 1 and m > 1 and len(places) == len(set(places)) == n * m
+    assert sum(len(b[2][0]) for b in model.blocks(1000)) == pairs
+    at, slope = model.scale
+    again = [(1000, rows[0][1]), (1001, " ".join(reversed(rows[0][1].split()))), (1002, "w0"), (1003, ""), (1004, None), (1005, "unknown w0 w1")]
+    found = toxicity.score(spark, docs.union(spark.createDataFrame(again, "doc_id long, text string")), model).collect()
+    want = {i: 1 / (1 + math.exp(-(at + slope * math.asinh(gain(t) / toxicity.BEND)))) for i, t in [*rows, *again]}
+    assert len(found) == len(want) and {r.doc_id: r.score for r in found} == pytest.approx(want, rel=1e-9)
+    assert want[1000] != pytest.approx(want[1001], rel=1e-6)
+
+
 def test_toxicity_workers_need_no_package(spark, tmp_path):
     """What goes to the workers can be read where this package isn't."""
     import pickle
