@@ -645,6 +645,49 @@ def test_toxicity_keeps_all_pairs(spark, monkeypatch):
     assert want[1000] != pytest.approx(want[1001], rel=1e-6)
 
 
+def test_toxicity_scale_is_of_all_rows(spark, monkeypatch):
+    """More labelled rows than a sample would hold: the scale is the optimum over all of them, by brute force."""
+    rnd = random.Random(23)
+    words = [f"w{k}" for k in range(400)]
+    truth = {i: int(i % 5 == 0) for i in range(8000)}
+    rows = [(i, " ".join([*rnd.choices(words, k=rnd.randint(0, 8)), *rnd.choices(["bad", "worse", "vile", "foul", "w1", "w2"], k=2 * t)])) for i, t in truth.items()]
+    docs = spark.createDataFrame([*rows, (10, rows[7][1])], "doc_id long, text string")
+    train = {i for i in truth if zlib.crc32(str(i).encode()) % 3 != 1}
+    split = [(truth[i], t.split()) for i, t in [*rows, (10, rows[7][1])] if i in train]
+    known = defaultdict(lambda: [0, 0])
+    for toxic, ws in split:
+        for p in zip([None, *ws], ws, strict=False):
+            known[p][toxic] += 1
+    assert len(split) > 5000 and max(max(n) for (b, _), n in known.items() if b) <= toxicity.PAIR_DISCOUNT
+    contexts = defaultdict(lambda: [0, 0, 0])
+    for (_, w), n in known.items():
+        for k, one in enumerate([n[0] > 0, n[1] > 0, True]):
+            contexts[w][k] += one
+    total = [sum(c[k] for c in contexts.values()) for k in (0, 1)]
+    taken = [sum(min(c[k], toxicity.DISCOUNT) for c in contexts.values()) for k in (0, 1)]
+    left = max(taken[k] / total[k] for k in (0, 1))
+
+    def evidence(toxic, ws):
+        own, gain = defaultdict(set), 0
+        for before, w in zip([None, *ws], ws, strict=False):
+            own[w].add(before)
+        for w in ws:
+            c = [max(contexts[w][k] - (len(own[w]) if k in (toxic, 2) else 0), 0) for k in (0, 1, 2)]
+            p = [(1 - left) * max(c[k] - toxicity.DISCOUNT, 0) / (total[k] - taken[k]) + left * (c[2] + 1) / (len(known) + len(contexts) + 1) for k in (0, 1)]
+            gain += math.log(1 - toxicity.SHARE + toxicity.SHARE * p[1] / p[0])
+        return math.asinh(gain / (len(ws) + toxicity.LENGTH_PRIOR) / toxicity.BEND)
+
+    x, y = np.array([evidence(*r) for r in split]), np.array([r[0] for r in split])
+    marks = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    for block in (1_500_000, 150):
+        monkeypatch.setattr(toxicity, "BLOCK_WORDS", block)
+        model = toxicity.learn(spark, docs, marks)
+        at, slope = model.scale
+        p = 1 / (1 + np.exp(-(at + slope * x)))
+        # both derivatives of the likelihood, with the slope's ridge, vanish
+        assert abs((y - p).mean()) < 1e-9 and abs(((y - p) * x).mean() / x.std() - 1e-3 * slope * x.std()) < 1e-9
+
+
 def test_toxicity_workers_need_no_package(spark, tmp_path):
     """What goes to the workers can be read where this package isn't."""
     import pickle
