@@ -162,6 +162,42 @@ def test_blocked_windows(spark):
         assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_event_time_buffer_looks_only_at_due_rows():
+    """A row doesn't cost a pass over all that wait, whichever of the two ways out the others take."""
+    reads = 0
+
+    class Row(dict):
+        def __getitem__(self, name):
+            nonlocal reads
+            reads += 1
+            return super().__getitem__(name)
+
+    n = 3_000
+    for fold in (folds.EventTimeBuffer(10**9, 10**15), folds.EventTimeBuffer(10**9, 10), folds.EventTimeBuffer(0, 10**15)):
+        reads, rows = 0, [Row(topic="t", arrival=i, event_time_ms=(i * 37) % n + (10 * n if i == 0 and fold.hold == 10 else 0), at_ms=i) for i in range(n)]
+        got = feed(fold, rows)
+        assert sorted(x["released"] for x in got) == list(range(1, n + 1)) and reads <= 20 * n
+        assert not fold.rows and len(fold.times) <= 64 and len(fold.ages) <= 64
+    held = [{"topic": "t", "arrival": i, "event_time_ms": t, "at_ms": a} for i, (t, a) in enumerate(((50, 0), (40, 1), (45, 8), (60, 10), (200, 12)))]
+    fold = folds.EventTimeBuffer(100, 9)
+    assert [[x["arrival"] for x in fold.step(r)] for r in held] == [[], [], [], [1, 0], [2, 3]] and [x["arrival"] for x in fold.finish()] == [4]
+
+
+def test_released_by_blocks_equals_the_fold(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["a", "b", None]), k * 100 + k, rnd.choice([None, *[k + rnd.randint(-40, 40)] * 6, k // 50 * 50])) for k in range(500)]
+    df = spark.createDataFrame(rows, "topic string, arrival long, event_time_ms long").repartition(3)
+    for late in (0, 25):
+        want = []
+        for topic in ("a", "b", None):
+            want += feed(folds.EventTimeBuffer(late, 10**15), [{"topic": t, "arrival": a, "event_time_ms": e, "at_ms": a} for t, a, e in rows if t == topic])
+        for width, span in ((1, 1), (7_000, 30), (1 << 40, 1 << 40)):
+            got = C.released(df, late, width=width, span_ms=span).select("topic", "arrival", "event_time_ms", "released")
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted((tuple(x.values()) for x in want), key=repr)
+
+
 def test_no_task_sorts_a_topic(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import topic_matches
 from ..functions.scalars import stable_hash
 from ..sources.events import BLOCK
+from ..sources.shared import written
 from .blocked import beside, numbered, running
 
 #: Milliseconds of two merged topics that are numbered together.
@@ -275,6 +276,26 @@ def watermarked(df: DataFrame, lateness_ms: int, order: str = "arrival", t: str
     return rows.withColumn("late", F.coalesce(F.col(t) < F.col("watermark"), F.lit(False)))
 
 
+def released(df: DataFrame, lateness_ms: int, order: str = "arrival", t: str = "event_time_ms", width: int = BLOCK, span_ms: int = 1 << 20) -> DataFrame:
+    """Adds released, the place of a row in its topic when each waits until the watermark has reached it: EventTimeBuffer
+    without a limit to the hold, by blocks. width: a block's, in units of order; span_ms: a block's of times.
+
+    A waiting row goes out with the first row that lifts the watermark to its time. That hangs on the time alone, so it is
+    looked up once for each time, and a block of times has two rows for each millisecond at most.
+    """
+    at, top = F.col(t), F.col("_top")
+    rows = written(running(df, ["topic"], [order], width, before=True, _top=("max", at)), "watermarks")
+    waits = at.isNotNull() & F.coalesce(at > top - lateness_ms, F.lit(True))
+    lifts = rows.where(at.isNotNull() & F.coalesce(at > top, F.lit(True))).select("topic", (lateness_ms - at).alias("_back"), F.lit(0).alias("_asks"), F.col(order).alias("_step"))
+    asks = rows.where(waits).select("topic", (-at).alias("_back")).distinct().select("topic", "_back", F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("_step"))
+    found = running(lifts.unionByName(asks), ["topic"], ["_back", "_asks"], span_ms, _first=("min", F.col("_step"))).where("_asks = 1")
+    found = found.select(F.col("topic").alias("_t"), F.col("_back").alias("_b"), "_first")
+    met = rows.join(found, F.col("topic").eqNullSafe(F.col("_t")) & (F.coalesce(-at, F.col(order)) == F.col("_b")), "left")
+    step = F.when(waits, F.coalesce("_first", F.lit((1 << 63) - 1))).otherwise(F.col(order))
+    met = written(met.select(*df.columns, step.alias("_step")), "releases")
+    return numbered(met, ["topic"], ["_step", t, "arrival"], "released", width).drop("_step")
+
+
 def idle_advances(df: DataFrame, idle_ms: int) -> DataFrame:
     """One row for each silence of idle_ms or more after a timed row."""
     rows = beside(df, ["topic"], ["arrival"], "next_at_ms", F.col("at_ms"), following=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -327,28 +328,56 @@ class LaneDrain(Fold):
 
 class EventTimeBuffer(Fold):
     """Releases rows in event-time order once the watermark has reached them or they were held max_hold_ms; late
-    rows and those without a time pass at once. Ties go by arrival; what is left goes out at the end."""
+    rows and those without a time pass at once. Ties go by arrival; what is left goes out at the end.
+
+    Waiting rows are found by two heaps, of event times and of times of arrival, so that a row costs the logarithm of
+    those that wait. A row that left by one heap is dead in the other; once most of a heap is dead, it is built anew."""
 
     def __init__(self, lateness_ms: int = 0, max_hold_ms: int = 60_000):
-        self.lateness, self.hold, self.top, self.rows, self.order = lateness_ms, max_hold_ms, None, [], 0
+        self.lateness, self.hold, self.top, self.order = lateness_ms, max_hold_ms, None, 0
+        self.rows, self.seen, self.times, self.ages = {}, 0, [], []
 
     def _out(self, row: dict) -> dict:
         self.order += 1
         return {"topic": row["topic"], "arrival": row["arrival"], "event_time_ms": row["event_time_ms"], "released": self.order}
 
+    def _dead(self, heap: list[tuple]) -> bool:
+        return bool(heap) and heap[0][-1] not in self.rows
+
+    def _lean(self, heap: list[tuple]) -> list[tuple]:
+        if len(heap) <= 2 * len(self.rows) + 64:
+            return heap
+        heap = [x for x in heap if x[-1] in self.rows]
+        heapify(heap)
+        return heap
+
     def _due(self, now: int | None) -> list[dict]:
-        mark = None if self.top is None else self.top - self.lateness
-        due = [r for r in self.rows if now is None or r["event_time_ms"] <= mark or now - r["at_ms"] >= self.hold]
-        self.rows = [] if now is None else [r for r in self.rows if not (r["event_time_ms"] <= mark or now - r["at_ms"] >= self.hold)]
-        return [self._out(r) for r in sorted(due, key=lambda r: (r["event_time_ms"], r["arrival"]))]
+        due = []
+        while self.rows and (now is None or self._dead(self.times) or self.times[0][0] <= self.top - self.lateness):
+            *_, n = heappop(self.times)
+            if n in self.rows:
+                due.append(self.rows.pop(n))
+        held = False
+        while self.ages and (self._dead(self.ages) or now is not None and now - self.ages[0][0] >= self.hold):
+            _, n = heappop(self.ages)
+            if n in self.rows:
+                due.append(self.rows.pop(n))
+                held = True
+        if held:
+            due.sort(key=lambda r: (r["event_time_ms"], r["arrival"]))
+        self.times, self.ages = self._lean(self.times), self._lean(self.ages)
+        return [self._out(r) for r in due]
 
     def step(self, row: dict) -> list[dict]:
-        t = row["event_time_ms"]
+        t, at = row["event_time_ms"], row["at_ms"]
         if t is None or self.top is not None and t < self.top - self.lateness:
             return [self._out(row)]
-        self.rows.append(row)
+        self.seen += 1
+        self.rows[self.seen] = row
+        heappush(self.times, (t, row["arrival"], self.seen))
+        heappush(self.ages, (at, self.seen))
         self.top = t if self.top is None else max(self.top, t)
-        return self._due(row["at_ms"])
+        return self._due(at)
 
     def finish(self) -> list[dict]:
         return self._due(None)

@@ -373,8 +373,8 @@ def watermark_idle(spark, sf):
 
 @query()
 def event_time_release(spark, sf):
-    rows = disordered(spark, sf).select("topic", "order", "arrival", "event_time_ms", "at_ms")
-    return ordered_fold(rows, ["topic"], ["order"], lambda: folds.EventTimeBuffer(HOUR, 10**15), "topic string, arrival long, event_time_ms long, released long")
+    rows = disordered(spark, sf).select("topic", "order", "arrival", "event_time_ms")
+    return C.released(rows, HOUR, "order", width=100_000_000 << 20).select("topic", "arrival", "event_time_ms", "released")
 
 
 # ---- joins ----
