@@ -129,6 +129,66 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     assert sorted(r.arrival for r in got.collect()) == sorted(r.arrival for r in batch.collect())
 
 
+class Group:
+    """Stands for a stream, and for the state of its one key."""
+
+    exists = False
+
+    def groupBy(self, *keys):
+        return self
+
+    def applyInPandasWithState(self, update, *_):
+        return update
+
+    def update(self, value):
+        self.value = value
+
+
+def test_stream_fold_holds_no_group(spark, monkeypatch):
+    """Four times the rows of one key take no more memory, and come in order from whatever number of files."""
+    import random
+    import tracemalloc
+
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "RUN_BYTES", 1 << 17, raising=False)
+    monkeypatch.setattr(stateful, "FAN", 3, raising=False)
+    monkeypatch.setattr(stateful, "OUT_ROWS", 1_000, raising=False)
+    update = stateful.stream_fold(Group(), ["topic"], ["arrival"], lambda: folds.TokenBucket(1.0, 5.0), "topic string, arrival long, at_ms long, admitted boolean")
+
+    def run(n):
+        numbers = list(range(n))
+        random.Random(2).shuffle(numbers)
+        frames = (pd.DataFrame({"topic": "t", "arrival": numbers[i : i + 500], "at_ms": [k * 300 for k in numbers[i : i + 500]]}) for i in range(0, n, 500))
+        tracemalloc.start()
+        rows = admitted = 0
+        fold = folds.TokenBucket(1.0, 5.0)
+        for frame in update(("t",), frames, Group()):
+            want = [fold.step({"at_ms": (rows + i) * 300})[0]["admitted"] for i in range(len(frame))]
+            assert list(frame["arrival"]) == list(range(rows, rows + len(frame))) and list(frame["admitted"]) == want
+            rows, admitted = rows + len(frame), admitted + sum(want)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n and 0 < admitted < n
+        return peak - 40 * n  # the list of numbers
+
+    run(1_000)
+    assert run(40_000) < 2 * run(10_000)
+
+
+def test_stream_order_keeps_values(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "RUN_BYTES", 1)
+    monkeypatch.setattr(stateful, "FAN", 2)
+    parts = [([3.0, None], ["b", "z"]), ([1.0, 3.0], [None, "a"]), ([2.0, None], ["c", "y"])]
+    frames = (pd.DataFrame({"o": o, "p": p, "steps": [np.array(["x"], dtype=object), None]}) for o, p in parts)
+    got = list(stateful._in_order(frames, ["o", "p"]))
+    assert [(r["o"], r["p"]) for r in got] == [(1, None), (2, "c"), (3, "a"), (3, "b"), (None, "y"), (None, "z")]
+    assert [r["steps"] for r in got] == [["x"], ["x"], None, ["x"], None, None] and list(stateful._in_order(iter(()), ["o"])) == []
+
+
 def test_plans_stay_lean(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
