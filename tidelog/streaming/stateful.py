@@ -55,13 +55,18 @@ def _get(file: IO[bytes]) -> Iterator[tuple]:
             yield from part
 
 
+def _key(places: list[int]) -> Callable[[tuple], tuple]:
+    """What rows are ordered by, nulls last; one column, the common case, costs the least."""
+    first, *more = places
+    if more:
+        return lambda row: tuple([(row[i] is None, row[i]) for i in places])
+    return lambda row: (row[first] is None, row[first])
+
+
 def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> Iterator[dict]:
     """A group's rows in order, nulls last, whatever their number: sorted runs go to files, which are merged as they are
     read. Once FAN runs are of one level, they are merged into one of the next."""
-    names, rows, size, levels = [], [], 0, []
-
-    def key(row: tuple) -> tuple:
-        return tuple((row[i] is None, row[i]) for i in places)
+    names, key, rows, size, levels = [], None, [], 0, []
 
     def spill(level: int, run: Iterator[tuple], part: int) -> None:
         if level == len(levels):
@@ -72,8 +77,9 @@ def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> Iterator[dict
             spill(level + 1, merge(*[_get(f) for f, _ in files], key=key), min(n for _, n in files))
 
     for frame in frames:
-        names = list(frame.columns)
-        places = [names.index(c) for c in order]
+        if key is None:
+            names = list(frame.columns)
+            key = _key([names.index(c) for c in order])
         rows += _tuples(frame)
         size += int(frame.memory_usage(index=False, deep=True).sum())
         if size >= RUN_BYTES:
